@@ -17,7 +17,8 @@ SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
 INK = r"[^\t-\r\x1c-\x1f\x85\p{Z}]"
 
 # Address shape, time shapes and user shapes, each list in order of trial.
-ADDRESS = rf"(?<!{WORD})(\d{{1,3}}(?:\.\d{{1,3}}){{3}})(?!{WORD})"
+# The digit look-ahead comes first: it fails fast on most characters.
+ADDRESS = rf"(?=\d)(?<!{WORD})(\d{{1,3}}(?:\.\d{{1,3}}){{3}})(?!{WORD})"
 
 ISO_TIME = r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})"
 KEYED_TIME = rf"date=(\d{{4}}-\d{{2}}-\d{{2}}){SPACE}+time=(\d{{2}}:\d{{2}}:\d{{2}})"
@@ -74,9 +75,9 @@ def _checked(date_time: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` if it is a real moment from year 1 on, else null.
 
     Casting to the zone-less type and back validates and zero-pads in one pass, and no session
-    time zone can shift the value.
+    time zone can shift the value. Only a year is followed by a dash after four digits.
     """
-    no_year_zero = F.regexp_replace(date_time, "^0000", "-")
+    no_year_zero = F.replace(date_time, F.lit("0000-"), F.lit("-"))
     return no_year_zero.try_cast("timestamp_ntz").cast("string")
 
 
@@ -89,36 +90,41 @@ def _month_numbers(c: Column) -> Column:
     c = F.lower(c)
     for number, name in enumerate(MONTHS, start=1):
         c = F.replace(c, F.lit(name), F.lit(f"{number:02d}"))
-    return F.regexp_replace(c, r"^(\d\d) (\d) ", "$1 0$2 ")
+    return c
 
 
 def parse_timestamp(log: Column, at: Clock) -> Column:
     """ISO text of the first time shape that matches and is a real date, else ``at``.
 
     Only the first occurrence of each shape is tried. Every capture is rewritten to ISO order by
-    a chain that refers to it once, so a log is scanned once per shape tried.
+    a chain that refers to it once, so a log is scanned once per shape tried. A miss is empty
+    text, which no rewrite changes and the check turns into null.
     """
 
+    def piece(shape: str, needs: str, group: int = 1) -> Column:
+        return F.when(log.contains(needs), F.regexp_extract(log, shape, group))
+
     def in_year(c: Column) -> Column:
-        return F.regexp_replace(c, F.lit(f"^{UNSET_YEAR}"), at.year)
-
-    iso = F.replace(capture(log, ISO_TIME, "T"), F.lit("T"), F.lit(" "))
-    keyed = _squeezed(capture(log, KEYED_TIME, "date=", 0))
-    syslog = _month_numbers(_squeezed(capture(log, SYSLOG_TIME, ":")))
-    bracket = _month_numbers(_squeezed(capture(log, BRACKET_TIME, "[")))
-    dotted = _squeezed(capture(log, DOTTED_TIME, "[Time"))
-    at_time = _squeezed(capture(log, AT_TIME, "At", 0))
-    access = _month_numbers(capture(log, ACCESS_TIME, "["))
+        return F.replace(c, F.lit(f"{UNSET_YEAR}-"), F.concat(at.year, F.lit("-")))
+
+    iso = F.replace(piece(ISO_TIME, "T"), F.lit("T"), F.lit(" "))
+    keyed = _squeezed(piece(KEYED_TIME, "date=", 0))
+    syslog = _month_numbers(_squeezed(piece(SYSLOG_TIME, ":")))
+    bracket = _month_numbers(_squeezed(piece(BRACKET_TIME, "[")))
+    dotted = _squeezed(piece(DOTTED_TIME, "[Time"))
+    at_time = _squeezed(piece(AT_TIME, "At", 0))
+    access = _month_numbers(piece(ACCESS_TIME, "["))
     found = F.coalesce(
         in_year(_checked(iso)),
         _checked(F.regexp_replace(keyed, "^date=(.{10}) time=", "$1 ")),
         in_year(_checked(F.regexp_replace(
-            syslog, r"^(\d\d) (\d\d) (.{8})$", f"{UNSET_YEAR}-$1-$2 $3"))),
+            syslog, r"^(\d\d) (\d\d?) (.{8})$", f"{UNSET_YEAR}-$1-$2 $3"))),
         in_year(_checked(F.regexp_replace(
-            bracket, r"^(\d\d) (\d\d) (.{8}) (.{4})$", "$4-$1-$2 $3"))),
+            bracket, r"^(\d\d) (\d\d?) (.{8}) (.{4})$", "$4-$1-$2 $3"))),
         in_year(_checked(F.translate(dotted, ".", "-"))),
-        in_year(_checked(F.concat(F.lit(f"{UNSET_YEAR}-01-01 "), capture(log, CLOCK_TIME, ":")))),
-        in_year(_checked(_squeezed(capture(log, PLAIN_TIME, ":")))),
+        in_year(_checked(F.regexp_replace(
+            piece(CLOCK_TIME, ":"), "^(.{8})$", f"{UNSET_YEAR}-01-01 $1"))),
+        in_year(_checked(_squeezed(piece(PLAIN_TIME, ":")))),
         _checked(F.regexp_replace(at_time, "^At (.{8}) (..)/(..)/(.{4})$", "$4-$3-$2 $1")),
         in_year(_checked(F.regexp_replace(
             access, r"^(\d\d)/(\d\d)/(.{4}):(.{8})$", "$3-$2-$1 $4"))),

@@ -16,7 +16,7 @@ from emberwatch.operators.normalize import (
 from emberwatch.operators.scoring import FEATURES
 from emberwatch.plans import tables
 from emberwatch.schemas import ALERT, SOC_EVENT
-from emberwatch.session import scratch_path
+from emberwatch.session import apply_settings, scratch_path
 from emberwatch.sources import alerts as alert_source
 from emberwatch.sources.blocklist import clean_blocklist
 from emberwatch.sources.logs import read_log_csv
@@ -37,7 +37,7 @@ REGISTRY: dict[str, Query] = {}
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        apply_settings(spark)
         return fn(spark, sf_dir)
 
     REGISTRY[fn.__name__] = run
