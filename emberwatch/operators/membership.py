@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.ipaddr import DOTTED, is_ipv4
+from emberwatch.session import checkpointed
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+# An address with at least one in this many rows is hot, so no more than this many are.
+HOT_SHARE = 1000
+
 # Ranges are written out at whole-octet lengths, so an address needs only these four lookups.
 OCTETS = (1, 2, 3, 4)
 
@@ -23,44 +27,66 @@ class Lookup:
     entries: DataFrame
     small: bool
 
-    def side(self) -> DataFrame:
-        return F.broadcast(self.entries) if self.small else self.entries
-
 
 def checked(
-    entries: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+    entries: DataFrame, max_rows: int | None = None, max_bytes: int | None = None
 ) -> Lookup:
     """Count the list and its text; only a list within both bounds is ever broadcast."""
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
     size = entries.agg(
         F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("entry")), F.lit(0)).alias("b")
     ).first()
     return Lookup(entries, size.n <= max_rows and size.b <= max_bytes)
 
 
-def occurring(events: DataFrame, ip: str, lookup: Lookup) -> Lookup:
-    """The entries that occur in ``events``.
-
-    Addresses are made distinct before the shuffle, so a hot address costs one row per task.
-    """
-    seen = events.select(F.col(ip).alias("entry")).filter("entry is not null").distinct()
-    return checked(seen.join(lookup.entries, "entry", "left_semi"))
-
-
 def flag_listed(
     events: DataFrame, lookup: Lookup, ip: str = "source_ip", flag: str = "listed"
 ) -> DataFrame:
-    """Add a boolean: is the address an entry of the list, by exact text? Null never is.
+    """Add a boolean: is the address an entry of the list, by exact text? Null never is."""
+    if lookup.small:
+        hit = F.broadcast(lookup.entries.select(F.col("entry").alias("_entry")))
+        joined = events.join(hit, F.col(ip) == F.col("_entry"), "left")
+        return joined.withColumn(flag, F.col("_entry").isNotNull()).drop("_entry")
+    return _flag_by_verdicts(events, lookup, ip, flag)
 
-    A list too large to broadcast is first cut to the entries that occur. If even that is large,
-    the rows are shuffled as an outer join, whose hot partitions adaptive execution can split.
+
+def _flag_by_verdicts(events: DataFrame, lookup: Lookup, ip: str, flag: str) -> DataFrame:
+    """The flag for a list too large to broadcast.
+
+    Addresses are counted first, so a hot one costs one row per task, and each distinct address
+    is looked up once. If the listed ones among them are few, they act as a small list. If not,
+    the addresses holding a thousandth or more of the rows, at most a thousand of them, are
+    answered from a broadcast, and only the others are joined by key.
     """
-    if not lookup.small:
-        lookup = occurring(events, ip, lookup)
-    hit = lookup.side().select(F.col("entry").alias("_entry"))
+    counts = (
+        events.groupBy(F.col(ip).alias("entry")).agg(F.count("*").alias("n"))
+        .filter("entry is not null")
+    )
+    listed = lookup.entries.withColumn("verdict", F.lit(True))
+    seen = checkpointed(
+        counts.join(listed, "entry", "left").fillna(False, ["verdict"])
+    )
+    hits = checked(seen.filter("verdict").select("entry"))
+    if hits.small:
+        return flag_listed(events, hits, ip, flag)
+    total = seen.agg(F.sum("n")).first()[0]
+    hot = (
+        seen.filter(F.col("n") * HOT_SHARE >= total)
+        .select(F.col("entry").alias("_hot"), F.col("verdict").alias("_hot_verdict"))
+    )
+    cold = hits.entries.select(F.col("entry").alias("_key"), F.lit(True).alias("_cold_verdict"))
+    # Rows that need no lookup still pass the shuffle, so their key spreads them by input slice.
+    spread = F.concat(F.lit("slice "), F.spark_partition_id())
+    needs_lookup = F.col("_hot").isNull() & F.col(ip).isNotNull()
+    keyed = events.join(F.broadcast(hot), F.col(ip) == F.col("_hot"), "left").withColumn(
+        "_key", F.when(needs_lookup, F.concat(F.lit("ip "), F.col(ip))).otherwise(spread)
+    )
+    cold = cold.withColumn("_key", F.concat(F.lit("ip "), F.col("_key")))
     return (
-        events.join(hit, F.col(ip) == F.col("_entry"), "left")
-        .withColumn(flag, F.col("_entry").isNotNull())
-        .drop("_entry")
+        keyed.join(cold.hint("shuffle_merge"), "_key", "left")
+        .withColumn(flag, F.coalesce("_hot_verdict", "_cold_verdict", F.lit(False)))
+        .drop("_key", "_hot", "_hot_verdict", "_cold_verdict")
     )
 
 
@@ -73,10 +99,12 @@ def only_unlisted(events: DataFrame, lookup: Lookup, ip: str = "source_ip") -> D
 
 
 def _filtered(events: DataFrame, lookup: Lookup, ip: str, how: str) -> DataFrame:
-    if not lookup.small:
-        lookup = occurring(events, ip, lookup)
-    hit = lookup.side().select(F.col("entry").alias("_entry"))
-    return events.join(hit, F.col(ip) == F.col("_entry"), how)
+    if lookup.small:
+        hit = F.broadcast(lookup.entries.select(F.col("entry").alias("_entry")))
+        return events.join(hit, F.col(ip) == F.col("_entry"), how)
+    flagged = _flag_by_verdicts(events, lookup, ip, "_listed")
+    wanted = F.col("_listed") if how == "left_semi" else ~F.col("_listed")
+    return flagged.filter(wanted).drop("_listed")
 
 
 def _spell_prefix(head: Column, octets: int) -> Column:
@@ -152,7 +180,7 @@ def _probe(events: DataFrame, expanded: Lookup, ip: str, flag: str) -> DataFrame
     probed = events.withColumn("_valid", F.when(is_ipv4(F.col(ip)), F.col(ip)))
     hits = []
     for i, key in enumerate(_prefix_keys(F.col(ip), F.col("_valid"))):
-        side = expanded.side().select(F.col("entry").alias(f"_hit{i}"))
+        side = F.broadcast(expanded.entries.select(F.col("entry").alias(f"_hit{i}")))
         probed = probed.join(side, key == F.col(f"_hit{i}"), "left")
         hits.append(f"_hit{i}")
     found = F.coalesce(*[F.col(name) for name in hits]).isNotNull()

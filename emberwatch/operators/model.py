@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from emberwatch.operators.membership import Lookup, flag_listed
 from emberwatch.operators.scoring import FEATURES, with_features, with_label
-from emberwatch.session import shared_dir
+from emberwatch.session import checkpointed
+from emberwatch.sources.synthetic import synthetic_events
 
 # Boosting settings and the share held out.
 TREES = 100
@@ -28,27 +29,34 @@ def training_features(events: DataFrame, blocklist: Lookup | None = None) -> Dat
     return with_features(flagged).select("id", *FEATURES, "severity")
 
 
-def split(features: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a hash of the id, the same on every run and partitioning."""
+def fold(features: DataFrame, seed: int = SEED) -> DataFrame:
+    """Split train from test rows, then count equal rows, in one pass over the data.
+
+    The split is a hash of the id, the same on every run and partitioning. The features and the
+    target take few values, so what is left is a small table however many rows went in. It is
+    checkpointed: boosting reads it many times.
+    """
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1000))
-    held_out = bucket < int(TEST_SHARE * 1000)
-    return features.filter(~held_out), features.filter(held_out)
+    held_out = (bucket < int(TEST_SHARE * 1000)).alias("held_out")
+    return checkpointed(
+        features.groupBy(held_out, *FEATURES, "severity").agg(F.count("*").alias("n"))
+    )
 
 
 def fit(
-    train: DataFrame, trees: int = TREES, learning_rate: float = LEARNING_RATE, depth: int = DEPTH,
-    seed: int = SEED,
+    folded: DataFrame, trees: int = TREES, learning_rate: float = LEARNING_RATE,
+    depth: int = DEPTH, seed: int = SEED,
 ) -> PipelineModel:
     """Fit on feature cells instead of rows.
 
-    The features take few values, so rows sharing all four are folded into one with their mean
-    target and their count as weight. The squared error differs from that of the rows by a
-    constant, so every split gains the same, and boosting cost stops growing with the data.
+    Training rows that share all features become one, with their mean target and their count as
+    weight. The squared error differs from that of the rows by a constant, so every split gains
+    the same, and boosting cost does not grow with the data.
     """
-    cells = train.groupBy(*FEATURES).agg(
-        F.avg("severity").alias("severity"), F.count("*").cast("double").alias("weight")
+    cells = folded.filter(~F.col("held_out")).groupBy(*FEATURES).agg(
+        (F.sum(F.col("severity") * F.col("n")) / F.sum("n")).alias("severity"),
+        F.sum("n").cast("double").alias("weight"),
     )
-    shared_dir(train.sparkSession)
     regressor = GBTRegressor(
         featuresCol="features", labelCol="severity", weightCol="weight", predictionCol="raw_score",
         maxIter=trees, stepSize=learning_rate, maxDepth=depth, seed=seed,
@@ -57,14 +65,13 @@ def fit(
     return Pipeline(stages=[assembler, regressor]).fit(cells)
 
 
-def mean_absolute_error(model: PipelineModel, test: DataFrame) -> DataFrame:
+def mean_absolute_error(model: PipelineModel, folded: DataFrame) -> DataFrame:
     """One row: held-out rows and the mean absolute error over them.
 
     Equal rows have equal errors, so each distinct one is predicted once and counted.
     """
-    counted = test.groupBy(*FEATURES, "severity").agg(F.count("*").alias("n"))
     miss = F.abs(F.col("severity") - F.col("raw_score"))
-    return model.transform(counted).agg(
+    return model.transform(folded.filter("held_out")).agg(
         F.sum("n").alias("test_rows"), (F.sum(miss * F.col("n")) / F.sum("n")).alias("mae")
     )
 
@@ -87,8 +94,6 @@ def train_model(
     spark: SparkSession, blocklist: Lookup | None = None, n: int = 1000, trees: int = TREES
 ) -> tuple[PipelineModel, DataFrame]:
     """Generate, featurise, split, fit and evaluate."""
-    from emberwatch.sources.synthetic import synthetic_events
-
-    train, test = split(training_features(synthetic_events(spark, n), blocklist))
-    model = fit(train, trees)
-    return model, mean_absolute_error(model, test)
+    folded = fold(training_features(synthetic_events(spark, n), blocklist))
+    model = fit(folded, trees)
+    return model, mean_absolute_error(model, folded)

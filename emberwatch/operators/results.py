@@ -12,7 +12,7 @@ from emberwatch.operators.explain import Explainer, explain
 from emberwatch.operators.membership import Lookup, flag_in_ranges, flag_listed
 from emberwatch.operators.normalize import AsOf, fill_defaults, normalize_alerts
 from emberwatch.operators.scoring import with_features, with_rule_severity
-from emberwatch.schemas import RESULT_FIELDS, SOC_EVENT
+from emberwatch.schemas import RESULT_FIELDS, EVENT
 from emberwatch.sources.alerts import newest_alerts
 
 
@@ -47,7 +47,7 @@ def enrich(
 
 
 def result_rows(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    return events.select(*keep, *RESULT_FIELDS, F.struct(*SOC_EVENT.names).alias("event"))
+    return events.select(*keep, *RESULT_FIELDS, F.struct(*EVENT.names).alias("event"))
 
 
 def run_once(

@@ -15,7 +15,7 @@ from emberwatch.operators.normalize import (
 )
 from emberwatch.operators.scoring import FEATURES
 from emberwatch.plans import tables
-from emberwatch.schemas import ALERT, SOC_EVENT
+from emberwatch.schemas import ALERT, EVENT
 from emberwatch.session import apply_settings, scratch_path
 from emberwatch.sources import alerts as alert_source
 from emberwatch.sources.blocklist import clean_blocklist
@@ -25,7 +25,7 @@ from emberwatch.streaming import alerts as streams
 
 # Rows without a usable time fall back to this moment, and year-less times to its year.
 AS_OF = "2024-02-15T12:00:00+00:00"
-AS_OF_TS = "2024-01-20 00:00:00"
+KPI_TIME = "2024-01-20 00:00:00"
 REPLAY_CATEGORY = "error"
 REPLAY_LIMIT = 100
 MODEL_TREES = 20
@@ -298,7 +298,7 @@ def severity_kpis(spark, sf_dir):
 
 @query
 def severity_kpis_24h(spark, sf_dir):
-    at = F.lit(AS_OF_TS).cast("timestamp")
+    at = F.lit(KPI_TIME).cast("timestamp_ntz")
     return dashboard.kpis_since(_dashboard(spark, sf_dir), at)
 
 
@@ -318,7 +318,7 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _unpacked(rows: DataFrame) -> DataFrame:
     """Result rows with the nested event spread out, for a flat comparison."""
     outer = ["alert_id", "timestamp", "event_type", "source_ip", "severity", "label", "explanation"]
-    return rows.select(*outer, *[F.col(f"event.{n}").alias(f"event_{n}") for n in SOC_EVENT.names])
+    return rows.select(*outer, *[F.col(f"event.{n}").alias(f"event_{n}") for n in EVENT.names])
 
 
 @query
@@ -427,14 +427,14 @@ def synthetic_events(spark, sf_dir):
 
 def _trained(spark: SparkSession, sf_dir: str):
     rows = synthesize(tables.table(spark, sf_dir, "events"), "event_id")
-    train, test = model.split(model.training_features(rows))
-    return model.fit(train, MODEL_TREES), test
+    folded = model.fold(model.training_features(rows))
+    return model.fit(folded, MODEL_TREES), folded
 
 
 @query
 def model_mae(spark, sf_dir):
-    fitted, test = _trained(spark, sf_dir)
-    return model.mean_absolute_error(fitted, test)
+    fitted, folded = _trained(spark, sf_dir)
+    return model.mean_absolute_error(fitted, folded)
 
 
 @query
@@ -455,7 +455,8 @@ def _alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = alert_source.stream_alerts(
         spark, f"{sf_dir}/events*.parquet", schema=schema, file_format="parquet"
     )
-    return tables.nest_alerts(tables.flat_alerts(rows))
+    nested = tables.nest_alerts(tables.flat_alerts(rows))
+    return nested.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query

@@ -59,7 +59,7 @@ def nest_alerts(flat: DataFrame) -> DataFrame:
     """The flat view as nested alert records, with its number and instant alongside."""
     return flat.select(
         "alert_id",
-        F.col("ts").cast("timestamp").alias("ts"),
+        "ts",
         F.col("alert_id").cast("string").alias("id"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'+0000'").alias("timestamp"),
         F.struct(

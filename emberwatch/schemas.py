@@ -27,7 +27,7 @@ ALERT = T.StructType(
 
 ALERT_ENVELOPE = _struct(hits=_struct(hits=T.ArrayType(_struct(_source=ALERT))))
 
-SOC_EVENT = _struct(
+EVENT = _struct(
     source_ip=_S, destination_ip=_S, port=_I, user=_S, event_type=_S, timestamp=_S, raw_log=_S,
     level=_I, rule_id=_S, severity=_I, label=_S, explanation=_S, status=_S,
 )

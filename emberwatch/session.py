@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -48,13 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
     folder of its own, since on a cluster the executors would not see it.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="emberwatch-")
         spark.conf.set(CHECKPOINT_CONF, root)
-        return root
-    raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder, so that a lost executor does not rescan for them."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
