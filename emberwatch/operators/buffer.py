@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberwatch.operators.topk import first_rows
+
 # Buffer capacity and page size.
 CAPACITY = 500
 PAGE = 100
@@ -25,7 +27,7 @@ def recent_events(
     """
     forward = [F.col(name).asc() if up else F.col(name).desc() for name, up in order]
     backward = [F.col(name).desc() if up else F.col(name).asc() for name, up in order]
-    kept = events.orderBy(*backward).limit(min(limit, capacity) if limit > 0 else capacity)
+    kept = first_rows(events, min(limit, capacity) if limit > 0 else capacity, *backward)
     if limit < 0:
         # At most ``capacity`` rows are left here, so one task can number them.
         place = F.row_number().over(Window.orderBy(*forward))

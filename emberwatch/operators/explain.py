@@ -47,6 +47,8 @@ def explain(events: DataFrame, explainer: Explainer | None = None) -> DataFrame:
     if explainer is None:
         text = template_text()
     else:
-        asked = F.pandas_udf(explainer, "string")
-        text = asked(prompt("raw_log"))
+        def ask(prompts: pd.Series) -> pd.Series:
+            return explainer(prompts)
+
+        text = F.pandas_udf(ask, "string")(prompt("raw_log"))
     return events.withColumn("explanation", text).withColumn("status", F.lit("explained"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions.text import clip_text, escape_quotes
+from emberwatch.operators.topk import first_rows
 
 # Up to this limit the cut is a top-k whose candidates fit one task.
 TOP_K_LIMIT = 100_000
@@ -29,7 +30,7 @@ def _cut(
     """The order key of the last row to replay, as a scalar; null if fewer rows match."""
     key = _key(order)
     if limit <= TOP_K_LIMIT:
-        top = matching.select(*order).orderBy(*order).limit(limit)
+        top = first_rows(matching.select(*order), limit, *order)
         return top.agg(
             F.when(F.count("*") == limit, F.max(key)).alias("cut")
         ).scalar()
@@ -73,7 +74,7 @@ def select_replay(
     """
     matching = rows.filter(matches(category))
     if 0 < limit <= TOP_K_LIMIT:
-        return matching.orderBy(*order).limit(limit)
+        return first_rows(matching, limit, *order)
     return _until_cut(rows, category, limit, order, chunk).filter(matches(category))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from emberwatch.functions.extract import parse_instant
 from emberwatch.functions.text import first_filled
+from emberwatch.operators.topk import first_rows
 from emberwatch.schemas import ALERT, ALERT_ENVELOPE
 
 
@@ -41,7 +42,7 @@ def newest_alerts(
 ) -> DataFrame:
     """The newest ``limit`` alerts, newest first: a per-task top-k, then one merge of the tops."""
     at = alert_instant() if by is None else by
-    return alerts.orderBy(at.desc_nulls_last(), F.col(tiebreak).desc_nulls_last()).limit(limit)
+    return first_rows(alerts, limit, at.desc_nulls_last(), F.col(tiebreak).desc_nulls_last())
 
 
 def stream_alerts(
