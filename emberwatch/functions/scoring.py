@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.ipaddr import is_internal_server, is_private
 
-# Feature weights, watched ports, label and band limits.
+# Feature weights and watched ports; labels start at 25, 50 and 75, bands at 40, 60
+# and 80, and both scales end at 100.
 LISTED_WEIGHT = 10
 PUBLIC_WEIGHT = 3
 PRIVATE_WEIGHT = 3
 INTERNAL_WEIGHT = 5
 PORT_WEIGHT = 5
 COMMON_PORTS = [22, 90, 443, 3306, 8080]
-LABEL_LIMITS = [(25, "benign"), (50, "suspicious"), (75, "malicious")]
-TOP_LABEL = "critical"
-BAND_LIMITS = [(80, "critical"), (60, "high"), (40, "medium")]
-LOW_BAND = "low"
+LABEL_START, LABELS = 25, ["benign", "suspicious", "malicious", "critical"]
+BAND_START, BANDS = 40, ["low", "medium", "high", "critical"]
+SCALE_END = 100
 
 
 def weight(flag: Column, points: int) -> Column:
@@ -38,10 +38,16 @@ def port_security(port: Column, ports: Sequence[int] = COMMON_PORTS) -> Column:
     return weight(F.coalesce(port.isin(*ports), F.lit(False)), PORT_WEIGHT)
 
 
-def to_severity(raw: Column) -> Column:
-    """Clip to 0-100 and drop the fraction; not-a-number gives null."""
-    clipped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw.cast("double")))
-    return F.when(~F.isnan(raw.cast("double")), clipped).cast("int")
+def to_severity(raw: Column, known: Column | None = None) -> Column:
+    """Clip to 0-100 and drop the fraction; a missing score or not-a-number gives null.
+
+    ``known`` replaces that test where a cheaper one decides, so that ``raw`` is written once.
+    """
+    raw = raw.cast("double")
+    if known is None:
+        known = raw.isNotNull() & ~F.isnan(raw)
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(float(SCALE_END)), raw))
+    return F.when(known, clipped.cast("int"))
 
 
 def rule_score(
@@ -53,15 +59,21 @@ def rule_score(
 
 
 def label_of(severity: Column) -> Column:
-    return _banded(severity, [(severity < limit, name) for limit, name in LABEL_LIMITS], TOP_LABEL)
+    return _step(severity, LABEL_START, LABELS)
 
 
 def band_of(score: Column) -> Column:
-    return _banded(score, [(score >= limit, name) for limit, name in BAND_LIMITS], LOW_BAND)
+    return _step(score, BAND_START, BANDS)
+
 
+def _step(value: Column, start: int, names: list[str]) -> Column:
+    """The name of the step a value is on; the steps above ``start`` are equally high.
 
-def _banded(value: Column, tests: list[tuple[Column, str]], rest: str) -> Column:
-    chain = F.when(value.isNull(), F.lit(None).cast("string"))
-    for test, name in tests:
-        chain = chain.when(test, F.lit(name))
-    return chain.otherwise(F.lit(rest))
+    A chain of comparisons would repeat the value, and with it the whole score, once per step
+    wherever a filter on the name is pushed down.
+    """
+    step = F.width_bucket(
+        value.cast("double"), F.lit(float(start)), F.lit(float(SCALE_END)), F.lit(len(names) - 1)
+    )
+    named = F.array(*[F.lit(name) for name in names + names[-1:]])
+    return F.get(named, step.cast("int"))

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    """Null for empty text.
+
+    ``nullif`` would evaluate its argument twice, a regex pass in most uses here, and nested uses
+    would double again. Dropping it from a one-element array refers to it once.
+    """
+    return F.get(F.array_remove(F.array(c), ""), F.lit(0))
 
 
 def first_filled(*choices: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberwatch.functions.scoring import to_severity
 from emberwatch.operators.membership import Lookup, flag_listed
 from emberwatch.operators.scoring import FEATURES, with_features, with_label
 from emberwatch.session import checkpointed
@@ -79,7 +80,8 @@ def mean_absolute_error(model: PipelineModel, folded: DataFrame) -> DataFrame:
 def score(model: PipelineModel, features: DataFrame) -> DataFrame:
     """Predict, clip and label all rows in one pass over the partitions."""
     predicted = model.transform(features)
-    return with_label(predicted, F.col("raw_score")).drop("features", "raw_score")
+    severity = to_severity(F.col("raw_score"))
+    return with_label(predicted, severity).drop("features", "raw_score")
 
 
 def save(model: PipelineModel, path: str) -> None:

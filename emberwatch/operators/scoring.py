@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.scoring import (
@@ -27,12 +27,13 @@ def with_features(events: DataFrame, ports: Sequence[int] = COMMON_PORTS) -> Dat
 
 def with_rule_severity(features: DataFrame) -> DataFrame:
     """Score by the noise-free rule."""
-    return with_label(features, rule_score(*[F.col(name) for name in FEATURES]))
+    score = rule_score(*[F.col(name) for name in FEATURES])
+    return with_label(features, to_severity(score, F.col("level").isNotNull()))
 
 
-def with_label(features: DataFrame, raw_score) -> DataFrame:
+def with_label(features: DataFrame, severity: Column) -> DataFrame:
     return (
-        features.withColumn("severity", to_severity(raw_score))
+        features.withColumn("severity", severity)
         .withColumn("label", label_of(F.col("severity")))
         .withColumn("status", F.lit("scored"))
     )

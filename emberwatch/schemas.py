@@ -46,6 +46,5 @@ DASHBOARD_ALERT = _struct(
     severity=_S, score=_I, status=_S, message=_S,
 )
 
-# Score labels and processing states.
-LABELS = ["benign", "suspicious", "malicious", "critical"]
+# Processing states.
 STATUSES = ["pending", "normalized", "scored", "explained", "resolved"]
