@@ -100,8 +100,10 @@ def only_unlisted(events: DataFrame, lookup: Lookup, ip: str = "source_ip") -> D
 
 def _filtered(events: DataFrame, lookup: Lookup, ip: str, how: str) -> DataFrame:
     if lookup.small:
+        # A space is never an entry, since entries are trimmed. With a key that cannot be null the
+        # optimizer has no null test to push down, which would extract the address once more.
         hit = F.broadcast(lookup.entries.select(F.col("entry").alias("_entry")))
-        return events.join(hit, F.col(ip) == F.col("_entry"), how)
+        return events.join(hit, F.coalesce(F.col(ip), F.lit(" ")) == F.col("_entry"), how)
     flagged = _flag_by_verdicts(events, lookup, ip, "_listed")
     wanted = F.col("_listed") if how == "left_semi" else ~F.col("_listed")
     return flagged.filter(wanted).drop("_listed")
