@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from emberwatch.operators.explain import explain, explanation_input, prompt
 from emberwatch.operators.results import preview_lines
