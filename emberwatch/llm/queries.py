@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import token_store
+from emberwatch.llm import packing, token_store
 from emberwatch.llm.common import table
 from emberwatch.llm.registry import REGISTRY, SQL, query
 from emberwatch.session import scratch_path
@@ -10,6 +10,11 @@ from emberwatch.session import scratch_path
 __all__ = ["REGISTRY", "SQL"]
 
 
+@query
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_token_store(spark, sf_dir):
     path = scratch_path(spark, "token-store")
