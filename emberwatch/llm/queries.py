@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import packing, token_store
+from emberwatch.llm import packing, quality, simhash, token_store
 from emberwatch.llm.common import table
 from emberwatch.llm.registry import REGISTRY, SQL, query
 from emberwatch.session import scratch_path
@@ -10,6 +10,25 @@ from emberwatch.session import scratch_path
 __all__ = ["REGISTRY", "SQL"]
 
 
+@query
+def op7_simhash_near_dedup(spark, sf_dir):
+    found = simhash.clusters(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", simhash.hexadecimal("print").alias("fingerprint"), "component_id"
+    )
+
+
+@query
+def op8_quality_rules(spark, sf_dir):
+    judged = quality.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+    return judged.select("doc_id", *quality.BASE, "kept")
+
+
+SQL["op8_quality_rules"] = quality.SQL
+
+
 @query
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
