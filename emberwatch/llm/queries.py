@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import packing, quality, simhash, token_store
+from emberwatch.llm import decontamination, language, packing, quality, simhash, token_store
 from emberwatch.llm.common import table
 from emberwatch.llm.registry import REGISTRY, SQL, query
 from emberwatch.session import scratch_path
@@ -10,6 +10,18 @@ from emberwatch.session import scratch_path
 __all__ = ["REGISTRY", "SQL"]
 
 
+@query
+def op1_benchmark_decontamination(spark, sf_dir):
+    return decontamination.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+@query
+def op6_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_simhash_near_dedup(spark, sf_dir):
     found = simhash.clusters(table(spark, sf_dir, "documents"))
