@@ -43,3 +43,51 @@ def match_starts(text: Column, pattern: str, matches: Column) -> Column:
         ),
         lambda acc: acc["starts"],
     )
+
+
+# A span found in a text: kind, places in code points (end exclusive) and the matched text.
+SPAN = "array<struct<kind:string,rank:int,start:int,end:int,found:string>>"
+
+
+def spans(text: Column, matches: Column, kind: str, rank: int, pattern: str, keep) -> Column:
+    """Spans of the matches that ``keep`` accepts; positions are worked out only where needed."""
+    placed = F.transform(
+        F.arrays_zip(matches.alias("m"), match_starts(text, pattern, matches).alias("s")),
+        lambda x: F.struct(
+            F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), x["s"].alias("start"),
+            (x["s"] + F.length(x["m"])).alias("end"), x["m"].alias("found"),
+        ),
+    )
+    wanted = F.exists(matches, keep)
+    return F.when(wanted, F.filter(placed, lambda x: keep(x["found"]))).otherwise(
+        F.array().cast(SPAN)
+    )
+
+
+def span_text(found: Column) -> Column:
+    """kind:start:end of every span, by start, then rank of the kind, comma-joined."""
+    ordered = F.sort_array(F.transform(found, lambda x: F.struct(
+        x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"),
+        x["kind"].alias("kind"),
+    )))
+    return F.array_join(F.transform(ordered, lambda x: F.concat_ws(
+        ":", x["kind"], x["start"].cast("string"), x["end"].cast("string")
+    )), ",")
+
+
+def masked(text: Column, hidden: Column, mark: str) -> Column:
+    """The text with ``mark`` in place of every hidden (start, end); overlaps share one mark."""
+    ordered = F.sort_array(F.transform(hidden, lambda x: F.struct(x["start"], x["end"])))
+    step = F.aggregate(
+        ordered,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, x: F.struct(
+            F.greatest(acc["at"], x["end"]).alias("at"),
+            F.when(
+                (x["start"] >= acc["at"]),
+                F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]),
+                         F.lit(mark)),
+            ).otherwise(acc["out"]).alias("out"),
+        ),
+    )
+    return F.concat(step["out"], F.substr(text, step["at"] + 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import decontamination, language, packing, quality, simhash, token_store
+from emberwatch.llm import decontamination, language, packing, quality, secrets, simhash, token_store
 from emberwatch.llm.common import table
 from emberwatch.llm.registry import REGISTRY, SQL, query
 from emberwatch.session import scratch_path
@@ -51,3 +51,8 @@ def op4_token_store(spark, sf_dir):
     path = scratch_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), path)
     return token_store.describe_store(spark, path)
+
+
+@query
+def op10_secret_scans(spark, sf_dir):
+    return secrets.describe(secrets.scan(table(spark, sf_dir, "documents")))

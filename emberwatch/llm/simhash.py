@@ -71,6 +71,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         })
 
 
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for made in _fingerprints([batch]):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("match"), *made.columns], ["match", *made.schema.names]
+            )
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the fingerprint as a signed 64-bit ``print``."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -271,5 +279,32 @@ def clusters(docs: DataFrame, fingerprinted: DataFrame | None = None) -> DataFra
     return prints.join(named, "print").select("doc_id", "print", "root", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of every component, with its own columns: that with the smallest ``doc_id``.
+
+    Null ids come last, equal ones are told apart by a digest of id and text, and of repeated rows
+    one stays. The text itself is shuffled once.
+    """
+    match = F.sha2(F.concat_ws(
+        "\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+        F.coalesce("text", F.lit("")),
+    ), 256)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", match.alias("match"))
+    prints = stored(rows.mapInArrow(_matched, "match string, doc_id long, print long"), "prints")
+    each = prints.groupBy("match", "doc_id", "print").agg(F.count("*").alias("copies"))
+    roots_ = clusters(docs, prints.select("doc_id", "print")).select("print", "root").distinct()
+    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "match", "copies")).alias("first")
+    winners = stored(
+        each.join(roots_, "print").groupBy("root").agg(first)
+        .select("first.match", "first.copies"), "kept-documents",
+    )
+    packed = docs.select(F.struct("*").alias("row"), match.alias("match"))
+    kept = packed.join(winners, "match")
+    if winners.filter("copies > 1").isEmpty():
+        return kept.select("row.*")
+    once = kept.filter("copies > 1").dropDuplicates(["match"])
+    return kept.filter("copies = 1").unionByName(once).select("row.*")
+
+
 def hexadecimal(prints: str) -> Column:
     return F.lower(F.lpad(F.hex(prints), 16, "0"))
