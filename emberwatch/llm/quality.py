@@ -113,6 +113,8 @@ def features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
         share("_capitals", "word_chars").alias("share_capitals"),
         share("_marks", "word_chars").alias("share_marks"),
         share("n_repeat_words", "n_words").alias("share_repeats"),
+        # A filter that uses this column is not pushed below the measuring.
+        F.monotonically_increasing_id().alias("_place"),
     )
 
 
@@ -206,7 +208,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, shares and verdict of every document, measured once."""
-    measured = stored(features(docs, keep=("doc_id", "lang")), "quality-features")
+    measured = stored(features(docs, keep=("doc_id", "lang")).drop("_place"), "quality-features")
     return judge(measured, calibrate(measured, labels))
 
 
@@ -216,13 +218,14 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Only shares are stored for the cutoffs; the verdict is taken on the row itself, so no text
     is shuffled.
     """
-    measured = stored(features(docs, keep=("doc_id", "lang")), "quality-features")
+    measured = stored(features(docs, keep=("doc_id", "lang")).drop("_place"), "quality-features")
     cutoffs = calibrate(measured, labels)
     packed = docs.select(F.struct("*").alias("_row"))
     packed = packed.select(
         "_row", F.col("_row.text").alias("text"), F.col("_row.lang").alias("lang")
     )
-    return judge(features(packed, keep=("_row", "lang")), cutoffs).filter("kept").select("_row.*")
+    judged = judge(features(packed, keep=("_row", "lang")), cutoffs)
+    return judged.filter("kept and _place >= 0").select("_row.*")
 
 
 SQL = f"""
