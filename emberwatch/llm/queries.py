@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import chat, decontamination, language, packing, quality, secrets, simhash, token_store
+from emberwatch.llm import chat, decontamination, language, packing, personal, quality, secrets, simhash, token_store
 from emberwatch.llm.common import table
 from emberwatch.llm.registry import REGISTRY, SQL, query
 from emberwatch.session import scratch_path
@@ -67,6 +67,11 @@ def op4_token_store(spark, sf_dir):
     return token_store.describe_store(spark, path)
 
 
+@query
+def op9_personal_data(spark, sf_dir):
+    return personal.describe(personal.find(table(spark, sf_dir, "documents")))
+
+
 @query
 def op10_secret_scans(spark, sf_dir):
     return secrets.describe(secrets.scan(table(spark, sf_dir, "documents")))
