@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import chat, decontamination, language, packing, personal, quality, secrets, simhash, token_store
+from emberwatch.llm import chat, decontamination, language, licences, packing, personal, quality, secrets, simhash, token_store
 from emberwatch.llm.common import table
 from emberwatch.llm.registry import REGISTRY, SQL, query
 from emberwatch.session import scratch_path
@@ -55,6 +55,11 @@ def op8_quality_rules(spark, sf_dir):
 SQL["op8_quality_rules"] = quality.SQL
 
 
+@query
+def op2_licence_scans(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents")).drop("notice")
+
+
 @query
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
