@@ -450,36 +450,59 @@ def model_scores(spark, sf_dir):
 # Streams, each run to the end of the available files
 
 
-def _alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = tables.table(spark, sf_dir, "events").schema
-    rows = alert_source.stream_alerts(
-        spark, f"{sf_dir}/events*.parquet", schema=schema, file_format="parquet"
-    )
-    nested = tables.nest_alerts(tables.flat_alerts(rows))
-    return nested.withColumn("ts", F.col("ts").cast("timestamp"))
+def _alert_stream(
+    spark: SparkSession, sf_dir: str, files: int, copies: int = 1
+) -> DataFrame:
+    """Alerts written to several files in no order of time, and streamed one file per batch."""
+    path = scratch_path(spark, "alert-files")
+    rows = tables.alerts(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    place = F.pmod(F.xxhash64("alert_id", "_copy"), F.lit(files)).cast("int")
+    rows.withColumn("_place", place).repartitionById(files, F.col("_place")).drop(
+        "_copy", "_place"
+    ).write.parquet(path)
+    return alert_source.stream_alerts(spark, path, 1, rows.drop("_copy").schema, "parquet")
 
 
 @query
 def stream_results_once(spark, sf_dir):
     lookup = membership.checked(_blocklist(spark, sf_dir))
     path = scratch_path(spark, "stream-results")
-    unique = streams.without_repeats(_alert_stream(spark, sf_dir), "alert_id")
     run = streams.start_results(
-        unique, lambda batch: results.enrich(batch, lookup, as_of=AS_OF, keep=KEEP),
-        path, scratch_path(spark, "stream-state"), once=True,
+        _alert_stream(spark, sf_dir, 4),
+        lambda batch: results.enrich(batch, lookup, as_of=AS_OF, keep=KEEP),
+        path, scratch_path(spark, "stream-state"), once=True, key="alert_id",
     )
     run.awaitTermination()
     return _unpacked(spark.read.parquet(path))
 
 
+@query
+def stream_repeats(spark, sf_dir):
+    """Every alert three times over six unordered batches; each comes out once."""
+    path = scratch_path(spark, "stream-results")
+    stream = _alert_stream(spark, sf_dir, 6, copies=3)
+    # Without ids, as a search answer gives them, so the whole alert is the key.
+    bare = [name for name in stream.columns if name != "id"]
+    stream = stream.withColumn("id", F.lit(None).cast("string"))
+    stream = stream.withColumn("_key", streams.alert_key(bare + ["id"]))
+    run = streams.start_results(
+        stream, lambda batch: results.score_alerts(batch, as_of=AS_OF, keep=KEEP),
+        path, scratch_path(spark, "stream-state"), once=True, key="_key",
+    )
+    run.awaitTermination()
+    return spark.read.parquet(path).select("alert_id", "severity", "label", "status")
+
+
 @query
 def stream_kpi_24h(spark, sf_dir):
     path = scratch_path(spark, "stream-kpis")
     scored = results.score_alerts(
-        _alert_stream(spark, sf_dir), as_of=AS_OF, keep=("alert_id", "ts")
+        _alert_stream(spark, sf_dir, 4, copies=2), as_of=AS_OF, keep=("alert_id", "ts")
     )
     run = streams.start_daily_counts(
-        tables.dashboard_alerts(scored), path, scratch_path(spark, "stream-state"), once=True
+        tables.dashboard_alerts(scored).withColumn("alert_id", F.col("id")), path,
+        scratch_path(spark, "stream-state"), once=True, key="alert_id",
     )
     run.awaitTermination()
     counts = streams.latest_counts(spark, path)

@@ -425,6 +425,7 @@ SQL: dict[str, str] = {
   destination_ip, "user", event_type, level from normalized where alert_id % 10 <> 0""",
     "synthetic_events": SYNTHETIC,
     "stream_results_once": enriched(SCORED),
+    "stream_repeats": f"with {UNLISTED} select alert_id, severity, label, status from scored",
     "stream_kpi_24h": f"""with {UNLISTED},
   dash as (select ts, case when severity >= 80 then 'critical' when severity >= 60 then 'high'
     when severity >= 40 then 'medium' else 'low' end as severity from scored)

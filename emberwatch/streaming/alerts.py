@@ -10,52 +10,79 @@ from pyspark.sql.streaming import StreamingQuery
 
 from emberwatch.operators.buffer import CAPACITY, append_events, recent_events
 from emberwatch.operators.dashboard import SEVERITIES, severity_counts
+from emberwatch.schemas import ALERT
 
 # Poll interval.
 POLL = "15 seconds"
 
-DELAY = "1 hour"
-SALTS = 16
+# Batches whose days are this many at most read only the keys stored for those days.
+KEY_DAYS = 400
+BUFFER_VERSIONS = 3
 
 
-def alert_key() -> Column:
-    """The alert id if there is one, else a digest of what identifies the alert."""
-    content = F.to_json(F.struct("timestamp", F.col("rule.id").alias("rule_id"), "full_log"))
+def alert_key(columns: list[str] | None = None) -> Column:
+    """The alert id if there is one, else a digest of the whole alert, or of its given columns."""
+    names = [name for name in ALERT.names if columns is None or name in columns]
+    content = F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]), {"ignoreNullFields": "false"})
     return F.coalesce(F.nullif(F.col("id"), F.lit("")), F.sha2(content, 256))
 
 
-def without_repeats(
-    alerts: DataFrame, key: str, event_time: str = "ts", delay: str = DELAY, salts: int = SALTS
-) -> DataFrame:
-    """Drop alerts whose key was seen within ``delay``.
-
-    Copies of one alert all share a key, so a first pass removes them per key and input slice,
-    and only its few survivors meet in one task.
-    """
-    marked = alerts.withWatermark(event_time, delay)
-    if salts > 1:
-        marked = (
-            marked.withColumn("_slice", F.spark_partition_id() % salts)
-            .dropDuplicatesWithinWatermark([key, "_slice"])
-            .drop("_slice")
-        )
-    return marked.dropDuplicatesWithinWatermark([key])
-
-
 def _started(writer, once: bool, every: str) -> StreamingQuery:
     trigger = {"availableNow": True} if once else {"processingTime": every}
     return writer.trigger(**trigger).start()
 
 
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a checkpoint folder was given when it was new."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(target)
+
+
+def _unseen(
+    batch: DataFrame, key: str, event_time: str, path: str, run: str, batch_id: int
+) -> DataFrame:
+    """The batch's rows whose key no other batch has stored, each key once.
+
+    Keys are stored by the day of the event, so a batch reads only the days it touches. Whether an
+    alert is a repeat never depends on its age or on how the input is cut into batches. A batch
+    that is run again replaces its own keys.
+    """
+    spark = batch.sparkSession
+    day = F.coalesce(F.date_format(event_time, "yyyy-MM-dd"), F.lit("none"))
+    own = batch.select(F.col(key).cast("string").alias("_key"), day.alias("_day")).distinct()
+    stored = f"{path}/_keys"
+    new = own
+    if _exists(spark, stored):
+        shape = "_key string, _day string, _run string, _batch bigint"
+        seen = spark.read.schema(shape).parquet(stored)
+        seen = seen.filter(~((F.col("_run") == run) & (F.col("_batch") == batch_id)))
+        days = [r[0] for r in own.select("_day").distinct().limit(KEY_DAYS + 1).collect()]
+        if len(days) <= KEY_DAYS:
+            seen = seen.filter(F.col("_day").isin(days))
+        new = own.join(seen.select("_key", "_day"), ["_key", "_day"], "left_anti")
+    target = f"{stored}/_run={run}/_batch={batch_id}"
+    new.write.mode("overwrite").partitionBy("_day").parquet(target)
+    written = spark.read.schema("_key string, _day string").parquet(target).select(F.col("_key").alias("_stored"))
+    rows = batch.dropDuplicates([key])
+    return rows.join(written, rows[key].cast("string") == written["_stored"], "left_semi")
+
+
 def start_results(
     alerts: DataFrame, enrich_batch: Callable[[DataFrame], DataFrame], path: str,
     checkpoint: str, once: bool = False, every: str = POLL, buffer_path: str | None = None,
     buffer_order: list[tuple[str, bool]] | None = None, capacity: int = CAPACITY,
+    key: str | None = None, event_time: str = "ts",
 ) -> StreamingQuery:
-    """Enrich each micro-batch and write it under its batch id.
+    """Enrich each micro-batch and write it under its run and batch id.
 
-    A batch that is run again after a failure overwrites its own folder. The buffer is fed from
-    the written rows, so the batch itself is evaluated once.
+    With ``key``, an alert whose key was stored before is dropped, whenever that was. A batch that is
+    run again after a failure overwrites its own folder; a new checkpoint starts a new run
+    and overwrites nothing. The buffer is fed from the written rows.
     """
     spark = alerts.sparkSession
     if buffer_path:
@@ -63,11 +90,17 @@ def start_results(
         create_buffer(shape, buffer_path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/batch_id={batch_id}"
-        enrich_batch(batch).write.mode("overwrite").parquet(target)
+        session = batch.sparkSession
+        run = _run_id(session, checkpoint)
+        # The batch is looked at for its keys and again for its rows, but read once.
+        held = batch.persist() if key else batch
+        rows = _unseen(held, key, event_time, path, run, batch_id) if key else batch
+        target = f"{path}/run={run}/batch_id={batch_id}"
+        enrich_batch(rows).write.mode("overwrite").parquet(target)
+        held.unpersist()
         if buffer_path:
-            written = batch.sparkSession.read.parquet(target)
-            update_buffer(written, batch_id, buffer_path, buffer_order or [], capacity)
+            update_buffer(session.read.parquet(target), batch_id, buffer_path,
+                          buffer_order or [], capacity)
 
     writer = alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _started(writer, once, every)
@@ -89,68 +122,81 @@ def update_buffer(
     # Only the end of the batch can stay, so it is cut before it meets the buffer.
     fresh = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
     fresh = recent_events(fresh, order, 0, capacity)
-    both = append_events(before, fresh)
+    both = append_events(before, fresh) if len(before.columns) > 1 else fresh
     kept = recent_events(both, [("batch_id", True), *order], 0, capacity)
     kept.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    _drop_old_versions(spark, path, batch_id)
 
 
-def _newest_version(spark: SparkSession, path: str, below: int | None) -> int:
-    """The newest finished version by folder name, below a bound if one is given."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions, of which only the last few are kept."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     done = files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "version=*/_SUCCESS"))
-    numbers = [int(s.getPath().getParent().getName().removeprefix("version=")) for s in done]
-    return max(n for n in numbers if below is None or n < below)
+    return sorted(
+        int(s.getPath().getParent().getName().removeprefix("version=")) for s in done or []
+    )
 
 
 def _version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={_newest_version(spark, path, below)}")
+    """The newest finished version; no rows if there is none."""
+    numbers = [n for n in _versions(spark, path) if below is None or n < below]
+    if not numbers:
+        return spark.createDataFrame([], "batch_id bigint")
+    return spark.read.parquet(f"{path}/version={numbers[-1]}")
+
+
+def _drop_old_versions(spark: SparkSession, path: str, newest: int) -> None:
+    jvm = spark.sparkContext._jvm
+    for number in [n for n in _versions(spark, path) if n <= newest][:-BUFFER_VERSIONS]:
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/version={number}")
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(target, True)
 
 
 def read_buffer(
     spark: SparkSession, path: str, order: list[tuple[str, bool]], limit: int = 100,
     capacity: int = CAPACITY,
 ) -> DataFrame:
-    return recent_events(
-        _version(spark, path), [("batch_id", True), *order], limit, capacity
-    )
+    newest = _version(spark, path)
+    if len(newest.columns) == 1:
+        return newest
+    return recent_events(newest, [("batch_id", True), *order], limit, capacity)
 
 
 def start_daily_counts(
-    alerts: DataFrame, path: str, checkpoint: str, event_time: str = "ts", delay: str = DELAY,
-    once: bool = False, every: str = POLL,
+    alerts: DataFrame, path: str, checkpoint: str, event_time: str = "ts", once: bool = False,
+    every: str = POLL, key: str | None = None,
 ) -> StreamingQuery:
-    """Severity counts per 24-hour window, each micro-batch writing the windows it changed."""
-    counts = (
-        alerts.withWatermark(event_time, delay)
-        .groupBy(F.window(event_time, "24 hours").alias("day"))
-        .agg(*severity_counts())
-        .select("day.start", "day.end", "total", *SEVERITIES)
-    )
+    """Severity counts per 24-hour window of each micro-batch; the windows' counts add up.
 
+    No alert is too late to count. With ``key``, repeats are left out as in ``start_results``.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        run = _run_id(batch.sparkSession, checkpoint)
+        held = batch.persist() if key else batch
+        rows = _unseen(held, key, event_time, path, run, batch_id) if key else batch
+        counts = rows.groupBy(F.window(event_time, "24 hours").alias("day")).agg(
+            *severity_counts()
+        ).select("day.start", "day.end", "total", *SEVERITIES)
+        counts.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
+        held.unpersist()
 
-    writer = (
-        counts.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-    )
+    writer = alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _started(writer, once, every)
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The last written counts of every window."""
+    """The counts of every window over all batches."""
     names = ["total", *SEVERITIES]
-    newest = F.max(F.struct("batch_id", *names)).alias("newest")
-    return (
-        spark.read.parquet(path).groupBy("start", "end").agg(newest)
-        .select("start", "end", *[f"newest.{name}" for name in names])
+    return spark.read.parquet(path).groupBy("start", "end").agg(
+        *[F.sum(name).alias(name) for name in names]
     )
 
 
 def progress(query: StreamingQuery) -> list[tuple[int, int, float]]:
-    """Batch id, input rows and seconds of the recent micro-batches."""
+    """Batch id, input rows and seconds of the recent micro-batches; none drops rows by age."""
     return [
         (p["batchId"], p["numInputRows"], p["batchDuration"] / 1000.0)
         for p in query.recentProgress
@@ -166,9 +212,37 @@ def stop(query: StreamingQuery, timeout_seconds: int = 10) -> None:
 def write_paced_files(
     rows: DataFrame, path: str, rows_per_file: int, order: str = "seq", file_format: str = "parquet"
 ) -> None:
-    """Files of at most ``rows_per_file`` consecutive rows, for a stream of one file per trigger."""
+    """Files of at most ``rows_per_file`` consecutive rows, for a stream of several files a trigger.
+
+    Which file a file stream takes first depends on when it was written; where the order of
+    batches matters, use ``start_paced``.
+    """
     (
         rows.repartitionByRange(order).sortWithinPartitions(order)
         .write.option("maxRecordsPerFile", rows_per_file).mode("append")
         .format(file_format).save(path)
     )
+
+
+def start_paced(
+    rows: DataFrame, path: str, checkpoint: str, rows_per_batch: int, batches: int,
+    order: str = "seq", every: str = "1 second",
+) -> StreamingQuery:
+    """Replay stored rows by row number: batch n holds numbers [n, n + 1) * ``rows_per_batch``.
+
+    A counting source drives the batches and only its numbers decide which rows a batch
+    holds, so the order is that of ``order``, a row number from 0. ``rows`` is read anew for each
+    batch; the range reaches its scan. Nothing is written after ``batches``.
+    """
+    spark = rows.sparkSession
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        span = F.col(order).between(batch_id * rows_per_batch, (batch_id + 1) * rows_per_batch - 1)
+        if batch_id < batches:
+            rows.filter(span).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        ticks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(processingTime=every).start()
+    )

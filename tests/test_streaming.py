@@ -21,13 +21,12 @@ def test_batches_equal_one_run_and_repeats_are_dropped(spark, sf, folder):
     streams.write_paced_files(batch, source, 400, "alert_id")
     batch.coalesce(1).write.mode("append").parquet(source)
     stream = stream_alerts(spark, source, 2, batch.schema, "parquet")
-    unique = streams.without_repeats(stream, "alert_id", delay="40 days", salts=3)
-    run = streams.start_results(unique, enriched, out, folder("state"), once=True,
-                                buffer_path=buffer, buffer_order=ORDER)
+    run = streams.start_results(stream, enriched, out, folder("state"), once=True,
+                                buffer_path=buffer, buffer_order=ORDER, key="alert_id")
     run.awaitTermination()
     seen = streams.progress(run)
     assert len(seen) > 1 and sum(rows for _, rows, _ in seen) == 2 * batch.count()
-    got, want = spark.read.parquet(out).drop("batch_id"), enriched(batch)
+    got, want = spark.read.parquet(out).drop("batch_id", "run"), enriched(batch)
     assert got.count() == want.count() == 1000
     names = ["alert_id", "severity", "label", "explanation"]
     assert got.select(names).exceptAll(want.select(names)).count() == 0
@@ -38,6 +37,8 @@ def test_batches_equal_one_run_and_repeats_are_dropped(spark, sf, folder):
     assert kept.select("alert_id").exceptAll(tail.select("alert_id")).count() == 0
     page = [r.alert_id for r in streams.read_buffer(spark, buffer, ORDER, 10).collect()]
     assert page == [r.alert_id for r in kept.collect()][-10:]
+    assert len(streams._versions(spark, buffer)) <= streams.BUFFER_VERSIONS
+    assert streams.read_buffer(spark, folder("nothing"), ORDER).count() == 0
 
 
 def test_restart_reads_only_new_files(spark, sf, folder):
@@ -53,15 +54,34 @@ def test_restart_reads_only_new_files(spark, sf, folder):
     assert sorted(sizes.values()) == [300, 700]
 
 
+def test_a_new_checkpoint_overwrites_nothing(spark, sf, folder):
+    source, out = folder("source"), folder("out")
+    batch = tables.alerts(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in ("alert_id < 300", "alert_id >= 300"):
+        batch.filter(part).write.mode("append").parquet(source)
+        stream = stream_alerts(spark, source, None, batch.schema, "parquet")
+        run = streams.start_results(stream, enriched, out, folder("state"), once=True, key="alert_id")
+        run.awaitTermination()
+    assert spark.read.parquet(out).count() == 1000
+
+
+def test_a_batch_run_again_changes_nothing(spark, sf, folder):
+    out = folder("out")
+    batch = tables.alerts(spark, sf).limit(50)
+    for batch_id in (0, 0, 1):
+        rows = streams._unseen(batch, "alert_id", "ts", out, "r", batch_id)
+        assert rows.count() == (50 if batch_id == 0 else 0)
+
+
 def test_interval_trigger_and_stop(spark, folder):
     source, out = folder("source"), folder("out")
-    line = '{"id": "1", "timestamp": "2026-03-23T16:31:28.689+0000", "full_log": "x 8.8.8.8"}'
+    line = '{"id": "1", "timestamp": "2031-07-09T05:06:07.250+0000", "full_log": "x 8.8.8.8"}'
     spark.createDataFrame([(line,), (line,)], "value string").write.text(source)
     alerts = stream_alerts(spark, source, schema=ALERT).withColumn("key", streams.alert_key())
     alerts = alerts.withColumn("ts", F.to_timestamp("timestamp"))
-    unique = streams.without_repeats(alerts, "key", salts=0)
     run = streams.start_results(
-        unique, lambda b: results.enrich(b, keep=("key",)), out, folder("state"), every="1 second")
+        alerts, lambda b: results.enrich(b, keep=("key",)), out, folder("state"), every="1 second",
+        key="key")
     run.processAllAvailable()
     assert run.isActive
     streams.stop(run)
@@ -71,11 +91,27 @@ def test_interval_trigger_and_stop(spark, folder):
 
 
 def test_key_without_id(spark):
-    rows = spark.createDataFrame(
-        [(None, "t", ("r1",), "x"), ("", "t", ("r1",), "x"), ("7", "t", ("r1",), "x")],
-        "id string, timestamp string, rule struct<id: string>, full_log string")
-    a, b, c = [r[0] for r in rows.select(streams.alert_key()).collect()]
-    assert a == b and len(a) == 64 and c == "7"
+    def alert(id_, agent):
+        return (id_, None, "t", ("3", "r1", None, None), None, (agent, None, None), "")
+
+    rows = [alert(None, "a"), alert("", "a"), alert("7", "a"), alert(None, "b")]
+    keys = spark.createDataFrame(rows, ALERT).select(streams.alert_key()).collect()
+    first, blank, named, other = [r[0] for r in keys]
+    # A blank id is part of the digest, so it is told apart from a missing one.
+    assert len(first) == len(blank) == 64 and named == "7" and other not in (first, blank)
+
+
+def test_paced_batches_follow_the_row_numbers(spark, folder):
+    source, out = folder("rows"), folder("paced")
+    rows = spark.range(95).selectExpr("id as seq", "concat('line ', id) as log")
+    rows.repartition(7).write.parquet(source)
+    run = streams.start_paced(spark.read.parquet(source), out, folder("state"), 20, 5,
+                              every="200 milliseconds")
+    while run.isActive and (run.lastProgress or {"batchId": 0})["batchId"] < 6:
+        run.awaitTermination(1)
+    streams.stop(run)
+    got = {(r.batch_id, r.seq) for r in spark.read.parquet(out).collect()}
+    assert got == {(n // 20, n) for n in range(95)}
 
 
 def test_daily_counts_over_batches(spark, sf, folder):
@@ -84,7 +120,7 @@ def test_daily_counts_over_batches(spark, sf, folder):
     board = tables.dashboard_alerts(scored).withColumn("ts", F.col("ts").cast("timestamp"))
     streams.write_paced_files(board, source, 300, "ts")
     stream = stream_alerts(spark, source, 1, board.schema, "parquet")
-    run = streams.start_daily_counts(stream, out, folder("state"), delay="40 days", once=True)
+    run = streams.start_daily_counts(stream, out, folder("state"), once=True)
     run.awaitTermination()
     counts = streams.latest_counts(spark, out)
     want = board.groupBy(F.window("ts", "24 hours")).count().count()
