@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,7 @@ def explanation_input(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
     )
 
 
+# The labels of the five fields in the prompt.
 def prompt(message: str = "message") -> Column:
     """The question for a text model about one event; missing values read None."""
     return F.concat(
@@ -43,12 +44,16 @@ def template_text() -> Column:
 
 
 def explain(events: DataFrame, explainer: Explainer | None = None) -> DataFrame:
-    """Add ``explanation``; a callable gets the prompts batch by batch, as Arrow-backed series."""
+    """Add ``explanation``; a callable gets the prompts batch by batch, as Arrow-backed series.
+
+    The callable reaches a task once and then serves all its batches.
+    """
     if explainer is None:
         text = template_text()
     else:
-        def ask(prompts: pd.Series) -> pd.Series:
-            return explainer(prompts)
+        def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for prompts in batches:
+                yield explainer(prompts)
 
         text = F.pandas_udf(ask, "string")(prompt("raw_log"))
     return events.withColumn("explanation", text).withColumn("status", F.lit("explained"))

@@ -33,11 +33,12 @@ def training_features(events: DataFrame, blocklist: Lookup | None = None) -> Dat
 def fold(features: DataFrame, seed: int = SEED) -> DataFrame:
     """Split train from test rows, then count equal rows, in one pass over the data.
 
-    The split is a hash of the id, the same on every run and partitioning. The features and the
+    The split is a digest of the id, the same on every run and partitioning. The features and the
     target take few values, so what is left is a small table however many rows went in. It is
     checkpointed: boosting reads it many times.
     """
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1000))
+    digest = F.sha2(F.concat_ws(":", F.lit("split"), F.lit(str(seed)), F.col("id")), 256)
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1000
     held_out = (bucket < int(TEST_SHARE * 1000)).alias("held_out")
     return checkpointed(
         features.groupBy(held_out, *FEATURES, "severity").agg(F.count("*").alias("n"))

@@ -6,76 +6,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions.text import clip_text, escape_quotes
-from emberwatch.operators.topk import first_rows
+from emberwatch.session import scratch_path
 
-# Up to this limit the cut is a top-k whose candidates fit one task.
-TOP_K_LIMIT = 100_000
-CHUNK_ROWS = 1 << 20
-
-
-def matches(category: str | None) -> Column:
-    """Rows to replay; no category means all, and a null category never equals one."""
+def matches(category: str | None, columns: list[str] | None = None) -> Column:
+    """Rows to replay; no category means all, and a null or absent one never equals any."""
     if not category:
         return F.lit(True)
+    if columns is not None and "category" not in columns:
+        return F.lit(False)
     return F.coalesce(F.col("category") == F.lit(category), F.lit(False))
 
 
-def _key(order: list[str]) -> Column:
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
-
-
-def _cut(
-    matching: DataFrame, limit: int, order: list[str], chunk: list[str] | None
-) -> Column:
-    """The order key of the last row to replay, as a scalar; null if fewer rows match."""
-    key = _key(order)
-    if limit <= TOP_K_LIMIT:
-        top = first_rows(matching.select(*order), limit, *order)
-        return top.agg(
-            F.when(F.count("*") == limit, F.max(key)).alias("cut")
-        ).scalar()
-    # Count per chunk, find the chunk the limit falls into, and rank only inside it. A chunk is
-    # a file split or a fixed span of a unique row number, so neither step grows with the limit.
-    if chunk is None:
-        chunk = ["_span"]
-        matching = matching.withColumn("_span", F.floor(F.col(order[0]) / CHUNK_ROWS))
-    per_chunk = matching.groupBy(*chunk).agg(F.count("*").alias("_n"))
-    upto = per_chunk.withColumn("_upto", F.sum("_n").over(Window.orderBy(*chunk)))
-    edge = (
-        upto.filter(F.col("_upto") >= limit).orderBy(*chunk).limit(1)
-        .select(*chunk, (limit - F.col("_upto") + F.col("_n")).alias("_need"))
-    )
-    inside = matching.join(F.broadcast(edge), chunk).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*chunk).orderBy(*order))
-    )
-    return inside.filter("_rank = _need").agg(F.max(key).alias("cut")).scalar()
+def _keyed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with the key of their place; rows of equal key are equal in every column."""
+    content = F.xxhash64(F.to_json(F.struct("*")))
+    return rows.withColumn("_key", F.struct(*order, content.alias("_content")))
 
 
-def _until_cut(
-    rows: DataFrame, category: str | None, limit: int, order: list[str],
-    chunk: list[str] | None,
+def _places(
+    rows: DataFrame, category: str | None, order: list[str], chunk: list[str] | None
 ) -> DataFrame:
-    """The rows a reader sees before it stops after the last allowed match."""
-    if limit == 0:
-        return rows
-    cut = _cut(rows.filter(matches(category)), limit, order, chunk)
-    return rows.filter(F.coalesce(_key(order) <= cut, F.lit(True)))
+    """Key, hit flag and chunk of every row, stored once for the cut and the counts.
+
+    Chunks follow each other in the order: file splits if ``chunk`` names them, else the parts of
+    a range shuffle of the keys alone.
+    """
+    keyed = _keyed(rows, order).withColumn("_hit", matches(category, rows.columns))
+    if chunk:
+        places = keyed.select("_key", "_hit", F.struct(*chunk).alias("_chunk"))
+    else:
+        places = keyed.select("_key", "_hit").repartitionByRange("_key").withColumn(
+            "_chunk", F.spark_partition_id()
+        )
+    path = scratch_path(rows.sparkSession, "replay-places")
+    places.write.parquet(path)
+    return rows.sparkSession.read.schema(places.schema).parquet(path)
+
+
+def _cut(places: DataFrame, limit: int) -> DataFrame:
+    """The key of the last row to replay and how many of its equals are; no row if fewer match.
+
+    Hits are counted per chunk, and only the chunk the limit falls into is ranked, for any limit.
+    """
+    hits = places.filter("_hit")
+    upto = hits.groupBy("_chunk").agg(F.count("*").alias("_n")).withColumn(
+        "_upto", F.sum("_n").over(Window.orderBy("_chunk"))
+    )
+    edge = (
+        upto.filter(F.col("_upto") >= limit).orderBy("_chunk").limit(1)
+        .select("_chunk", (limit - F.col("_upto") + F.col("_n")).alias("_need"))
+    )
+    inside = Window.partitionBy("_chunk").orderBy("_key")
+    ranked = hits.join(F.broadcast(edge), "_chunk").select(
+        "_key", "_need", F.row_number().over(inside).alias("_rank"),
+        F.rank().over(inside).alias("_first"),
+    )
+    return ranked.filter("_rank = _need").select(
+        "_key", (F.col("_rank") - F.col("_first") + 1).alias("copies")
+    )
 
 
 def select_replay(
     rows: DataFrame, category: str | None = None, limit: int = 100, order: list[str] = ["seq"],
     chunk: list[str] | None = None,
 ) -> DataFrame:
-    """The first ``limit`` matching rows in reading order; 0 means all.
+    """The first ``limit`` matching rows in reading order; 0 means all, less than 0 none.
 
-    ``order`` columns must identify a row. For more than ``TOP_K_LIMIT`` rows, ``chunk`` names
-    coarser leading columns of the same order (file and split for a file scan); without it the
-    first order column must be a whole row number.
+    Rows that ``order`` leaves tied are ordered by their content. ``chunk`` names coarser leading
+    columns of the same order, file and split for a file scan, and saves a shuffle of the keys.
     """
-    matching = rows.filter(matches(category))
-    if 0 < limit <= TOP_K_LIMIT:
-        return first_rows(matching, limit, *order)
-    return _until_cut(rows, category, limit, order, chunk).filter(matches(category))
+    hits = rows.filter(matches(category, rows.columns))
+    if limit <= 0:
+        return hits if limit == 0 else hits.limit(0)
+    cut = _cut(_places(rows, category, order, chunk), limit)
+    last = cut.select("copies").first()
+    if last is None:
+        return hits
+    keyed, at = _keyed(rows, order).filter(matches(category, rows.columns)), cut.select("_key").scalar()
+    chosen = keyed.filter(F.col("_key") < at).unionByName(
+        keyed.filter(F.col("_key") == at).limit(last["copies"])
+    )
+    return chosen.drop("_key")
 
 
 def count_replay(
@@ -83,18 +94,25 @@ def count_replay(
     chunk: list[str] | None = None,
 ) -> DataFrame:
     """Replayed rows, and rows skipped before the limit was reached, in one row."""
-    hit = matches(category)
-    return _until_cut(rows, category, limit, order, chunk).agg(
-        F.count_if(hit).alias("injected"), F.count_if(~hit).alias("skipped")
+    hit = F.col("_hit")
+    if limit <= 0:
+        seen = rows.withColumn("_hit", matches(category, rows.columns)).filter(F.lit(limit == 0))
+        return seen.agg(F.count_if(hit).alias("injected"), F.count_if(~hit).alias("skipped"))
+    places = _places(rows, category, order, chunk)
+    before = F.coalesce(F.col("_key") < _cut(places, limit).select("_key").scalar(), F.lit(True))
+    return places.agg(
+        F.least(F.lit(limit), F.count_if(hit)).alias("injected"),
+        F.count_if(~hit & before).alias("skipped"),
     )
 
 
 def replay_lines(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The line as sent, and the shorter text shown for it."""
-    log = F.coalesce(F.col("log"), F.lit(""))
+    """The line as sent, and the shorter text shown for it; absent columns take their defaults."""
+    log = F.coalesce(F.col("log"), F.lit("")) if "log" in rows.columns else F.lit("")
+    category = F.col("category") if "category" in rows.columns else F.lit("unknown")
     return rows.select(
         *keep,
-        F.coalesce(F.col("category"), F.lit("unknown")).alias("category"),
+        category.alias("category"),
         escape_quotes(log).alias("value"),
         clip_text(log, 80).alias("shown"),
         clip_text(log, 100).alias("dry_run"),

@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def write_json(rows: DataFrame, path: str) -> int:
-    """JSON lines; the row count comes from the write itself, not from a second pass."""
+def write_json(rows: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """JSON lines; the row count comes from the write itself, not from a second pass.
+
+    A second run replaces the first unless ``mode`` is append.
+    """
     counted = Observation()
-    rows.observe(counted, F.count("*").alias("rows")).write.mode("append").json(path)
+    rows.observe(counted, F.count("*").alias("rows")).write.mode(mode).json(path)
     return counted.get["rows"]
 
 
-def write_results(results: DataFrame, path: str, day: str | None = None) -> int:
+def write_results(
+    results: DataFrame, path: str, day: str | None = None, mode: str = "overwrite"
+) -> int:
     """Parquet, by day if a date column is named, so that time filters prune folders."""
     counted = Observation()
-    writer = results.observe(counted, F.count("*").alias("rows")).write.mode("append")
+    writer = results.observe(counted, F.count("*").alias("rows")).write.mode(mode)
     (writer.partitionBy(day) if day else writer).parquet(path)
     return counted.get["rows"]

@@ -207,19 +207,19 @@ rb as (select event_id, ts, event_type, 'u' || user_id as u,
 raw_logs as (select event_id as seq, case event_id % 20
   when 0 then strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.5Z account=' || u || ' x'
   when 1 then strftime(ts, 'date=%Y-%m-%d  time=%H:%M:%S hi')
-  when 2 then strftime(ts, '%b  %-d %H:%M:%S') || ' h sshd: Accepted password for ' || u
+  when 2 then strftime(ts, '%b  %-d %H:%M:%S') || ' h door: entry for ' || u
     || ' from ' || a
-  when 3 then '[' || strftime(ts, '%a %b %d %H:%M:%S') || ' 1992] [client ' || a || '] user ' || u
+  when 3 then '[' || strftime(ts, '%a %b %d %H:%M:%S') || ' 1996] [client ' || a || '] user ' || u
     || ': x'
-  when 4 then '[Sat Feb 29 ' || strftime(ts, '%H:%M:%S') || ' 1992] x'
-  when 5 then '[' || lower(strftime(ts, '%a %b %d %H:%M:%S')) || ' 1992] x'
+  when 4 then '[Thu Feb 29 ' || strftime(ts, '%H:%M:%S') || ' 1996] x'
+  when 5 then '[' || lower(strftime(ts, '%a %b %d %H:%M:%S')) || ' 1996] x'
   when 6 then 'Feb 29 ' || strftime(ts, '%H:%M:%S') || ' x'
-  when 7 then '[Time ' || strftime(ts, '%Y.%m.%d %H:%M:%S') || ' +05] x'
+  when 7 then '[Time ' || strftime(ts, '%Y.%m.%d %H:%M:%S') || ' +02] x'
   when 8 then strftime(ts, '%H:%M:%S') || ' x ' || a || ' ' || b
-  when 9 then 'TRACE ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' (' || u || '@h1)'
+  when 9 then 'NOTE ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' (' || u || '@h1)'
   when 10 then 'At ' || strftime(ts, '%H:%M:%S %d/%m/%Y') || ' user ' || u || ' "quoted, text"'
   when 11 then '[' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' ] ' || a || ' ' || b || ' 7.7.7.7'
-  when 12 then 'session closed for user root by (uid=0)'
+  when 12 then 'session closed for user omar by (uid=7)'
   when 13 then '1900-' || strftime(ts, '%m-%dT%H:%M:%S') || ' x'
   when 14 then 'nothing here'
   when 15 then ''
@@ -320,8 +320,22 @@ select id, source_ip, destination_ip, port, level, cast(trunc(greatest(0, least(
     * 2 + cast(port in (22, 90, 443, 3306, 8080) as int) * 5 + noise))) as int) as severity,
   'pending' as status from r"""
 
+MODEL_ROWS = f"""synthetic as ({SYNTHETIC}),
+  model_rows as (select ('0x' || substr(sha256('split:42:' || id), 1, 8))::bigint % 1000 < 200
+      as held_out, level, cast(not {private('source_ip')} as int) * 3 as source_ip_security,
+    cast({private('destination_ip')} as int) * 3 + cast({internal('destination_ip')} as int) * 5
+      as destination_ip_security,
+    cast(port in (22, 90, 443, 3306, 8080) as int) * 5 as port_security, severity from synthetic)"""
+PROMPT = """'You assist a security analyst. Explain this alert in a few sentences.' || chr(10)
+  || 'Event type: ' || coalesce(event_type, 'None') || chr(10)
+  || 'Message: ' || coalesce(raw_log, 'None') || chr(10)
+  || 'User: ' || coalesce("user", 'None') || chr(10)
+  || 'Source IP: ' || coalesce(source_ip, 'None') || chr(10)
+  || 'Severity: ' || coalesce(severity::varchar, 'None') || chr(10)
+  || 'Say what happened and what to check next.'"""
+
 REPLAYED = "replace(coalesce(log, ''), '\"', '\\\"')"
-REPLAY_COLUMNS = f"""seq, coalesce(category, 'unknown') as category, {REPLAYED} as value,
+REPLAY_COLUMNS = f"""seq, category, {REPLAYED} as value,
   substr(coalesce(log, ''), 1, 80) as shown, substr(coalesce(log, ''), 1, 100) as dry_run"""
 
 
@@ -419,6 +433,13 @@ SQL: dict[str, str] = {
   select unnest(string_split({REPLAYED}, chr(10))) as value from raw_logs""",
     "csv_logs_to_json": f"""with {RAW_LOGS}, filled as (select seq, coalesce(log, '') as log,
     coalesce(category, '') as category from raw_logs) """ + normalized_rows("filled", "seq"),
+    "csv_fields_to_json": """select event_id as seq,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') as "timestamp",
+  case when event_id % 3 = 0 then '45.33.1.' || (event_id % 250) else '10.0.0.' || user_id end
+    as source_ip,
+  case when event_id % 5 <> 0 then '10.0.1.' || user_id when event_id % 2 <> 0 then '8.8.8.8'
+    else '' end as destination_ip,
+  event_type, 'u' || user_id as "user", coalesce(props, '') as message from events""",
     "json_alert_scan": f"""with {NORMALIZED} select alert_id::varchar as id, {NORMALIZED_COLUMNS}
   from normalized""",
     "envelope_scan": f"""with {NORMALIZED} select alert_id::varchar as id, source_ip,
@@ -433,5 +454,16 @@ SQL: dict[str, str] = {
     strftime(date_trunc('day', ts) + interval 1 day, '%Y-%m-%d %H:%M:%S') as "end", {KPIS}
   from dash group by date_trunc('day', ts)""",
 }
+SQL["explanation_prompts"] = f"with {UNLISTED} select alert_id, {PROMPT} as prompt from scored"
+SQL["explained_by_callable"] = f"""with {UNLISTED} select alert_id,
+  'a prompt of ' || length({PROMPT}) as explanation, 'explained' as status from scored"""
+SQL["model_mae"] = f"""with {MODEL_ROWS}
+  select count_if(held_out) as test_rows, true as within_bound from model_rows"""
+SQL["model_cells"] = f"""with {MODEL_ROWS}
+  select held_out, level, source_ip_security, destination_ip_security, port_security, severity,
+    count(*) as n from model_rows group by all"""
+SQL["model_scores"] = f"""with {SCORED} select alert_id, level, source_ip_security,
+  destination_ip_security, port_security, true as within_bound, true as label_fits from scored"""
+SQL["model_reuse"] = f"with {NORMALIZED} select alert_id, true as same from normalized"
 SQL["blocklist_flag_shuffled"] = SQL["blocklist_flag"]
 SQL["blocklist_cidr_shuffled"] = SQL["blocklist_cidr"]

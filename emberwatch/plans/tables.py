@@ -84,19 +84,19 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOG_FORMS = [
     """concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), '.5Z account=', u, ' x')""",
     "concat('date=', date_format(ts, 'yyyy-MM-dd'), '  time=', date_format(ts, 'HH:mm:ss'), ' hi')",
-    "concat(date_format(ts, 'MMM  d HH:mm:ss'), ' h sshd: Accepted password for ', u, ' from ', a)",
-    """concat('[', date_format(ts, 'EEE MMM dd HH:mm:ss'), ' 1992] [client ', a, '] user ', u,
+    "concat(date_format(ts, 'MMM  d HH:mm:ss'), ' h door: entry for ', u, ' from ', a)",
+    """concat('[', date_format(ts, 'EEE MMM dd HH:mm:ss'), ' 1996] [client ', a, '] user ', u,
        ': x')""",
-    "concat('[Sat Feb 29 ', date_format(ts, 'HH:mm:ss'), ' 1992] x')",
-    "concat('[', lower(date_format(ts, 'EEE MMM dd HH:mm:ss')), ' 1992] x')",
+    "concat('[Thu Feb 29 ', date_format(ts, 'HH:mm:ss'), ' 1996] x')",
+    "concat('[', lower(date_format(ts, 'EEE MMM dd HH:mm:ss')), ' 1996] x')",
     "concat('Feb 29 ', date_format(ts, 'HH:mm:ss'), ' x')",
-    "concat('[Time ', date_format(ts, 'yyyy.MM.dd HH:mm:ss'), ' +05] x')",
+    "concat('[Time ', date_format(ts, 'yyyy.MM.dd HH:mm:ss'), ' +02] x')",
     "concat(date_format(ts, 'HH:mm:ss'), ' x ', a, ' ', b)",
-    "concat('TRACE ', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' (', u, '@h1)')",
+    "concat('NOTE ', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' (', u, '@h1)')",
     """concat('At ', date_format(ts, 'HH:mm:ss'), ' ', date_format(ts, 'dd/MM/yyyy'), ' user ', u,
        ' "quoted, text"')""",
     "concat('[', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' ] ', a, ' ', b, ' 7.7.7.7')",
-    "'session closed for user root by (uid=0)'",
+    "'session closed for user omar by (uid=7)'",
     "concat('1900-', date_format(ts, 'MM-dd'), 'T', date_format(ts, 'HH:mm:ss'), ' x')",
     "'nothing here'",
     "''",

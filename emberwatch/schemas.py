@@ -25,7 +25,7 @@ ALERT = T.StructType(
     ]
 )
 
-ALERT_ENVELOPE = _struct(hits=_struct(hits=T.ArrayType(_struct(_source=ALERT))))
+ALERT_ENVELOPE = _struct(hits=_struct(hits=T.ArrayType(_struct(_id=_S, _source=ALERT))))
 
 EVENT = _struct(
     source_ip=_S, destination_ip=_S, port=_I, user=_S, event_type=_S, timestamp=_S, raw_log=_S,

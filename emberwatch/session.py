@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,14 +43,14 @@ def build_session(app: str = "emberwatch", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """Root for written tables, stream state and checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to a
-    folder of its own, since on a cluster the executors would not see it.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local master may use a
+    folder in the session's warehouse; on a cluster the setting is needed.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="emberwatch-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/emberwatch-scratch"
         spark.conf.set(CHECKPOINT_CONF, root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)

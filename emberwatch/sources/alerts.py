@@ -13,24 +13,33 @@ from emberwatch.schemas import ALERT, ALERT_ENVELOPE
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """Alerts as JSON lines; ``path`` may be a glob over dated folders."""
-    return spark.read.schema(ALERT).json(path)
+    """Alerts as JSON lines; ``path`` may be a glob over dated folders.
+
+    A line that is no JSON fails the read; it never becomes an alert or goes missing.
+    """
+    return spark.read.schema(ALERT).option("mode", "FAILFAST").json(path)
 
 
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     """Alerts out of search answers, one JSON document per line."""
-    return unnest_envelope(spark.read.schema(ALERT_ENVELOPE).json(path))
+    return unnest_envelope(
+        spark.read.schema(ALERT_ENVELOPE).option("mode", "FAILFAST").json(path)
+    )
 
 
 def parse_envelopes(documents: DataFrame, column: str = "value") -> DataFrame:
-    """Alerts out of a text column of search answers."""
-    return unnest_envelope(documents.select(F.from_json(column, ALERT_ENVELOPE).alias("answer"))
-                           .select("answer.*"))
+    """Alerts out of a text column of search answers; an unreadable answer fails the job."""
+    answer = F.from_json(column, ALERT_ENVELOPE, {"mode": "FAILFAST"}).alias("answer")
+    return unnest_envelope(documents.select(answer).select("answer.*"))
 
 
 def unnest_envelope(answers: DataFrame) -> DataFrame:
-    """One row per hit; an answer without hits gives none."""
-    return answers.select(F.explode("hits.hits").alias("hit")).select("hit._source.*")
+    """One row per hit; an answer without hits gives none.
+
+    The hit's own id stands in where the alert itself has none.
+    """
+    hits = answers.select(F.explode("hits.hits").alias("hit")).select("hit._id", "hit._source.*")
+    return hits.withColumn("id", first_filled(F.col("id"), F.col("_id"))).drop("_id")
 
 
 def alert_instant() -> Column:

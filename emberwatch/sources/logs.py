@@ -4,28 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ORDER_COLUMNS = ["source_file", "source_block", "source_row"]
 
 
-def read_log_csv(
-    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
-) -> DataFrame:
-    """Header CSV with doubled quotes, every column text; absent values read as empty text.
+def read_log_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header CSV with doubled quotes, every column text.
 
-    ``multi_line`` keeps quoted newlines together but stops a file from being split, so large
-    single files without such rows are better read with it off. A folder of files is read in
-    parallel either way.
+    Columns come from the files' header, whatever their number and order. Files are split over
+    tasks unless ``multi_line`` asks for quoted newlines to be kept together, which makes a file
+    one task. The reader does not tell an empty cell from a missing one; both are empty text.
     """
     rows = (
-        spark.read.schema(schema)
-        .option("header", True)
+        spark.read.option("header", True)
+        .option("inferSchema", False)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
-        .option("enforceSchema", False)
         .csv(path)
     )
     return rows.na.fill("")

@@ -10,27 +10,27 @@ DEFAULT = "2026-06-01T00:00:00+00:00"
 
 # (log, time as ISO without the offset or None for the default, user, addresses)
 GOLDEN = [
-    ("2018-06-27T23:47:31.5Z account=kim x", "2018-06-27T23:47:31", "kim", []),
-    ("date=1981-08-26 time=03:09:47 hi", "1981-08-26T03:09:47", None, []),
-    ("Mar  4 03:12:48 h sshd: Accepted password for lee from 1.2.3.4",
-     "2026-03-04T03:12:48", "lee", ["1.2.3.4"]),
-    ("[Thu Dec 17 02:47:06 1992] [client 9.9.9.9] user ann: x",
-     "2026-12-17T02:47:06", "ann", ["9.9.9.9"]),
-    ("[Sat Feb 29 02:47:06 1992] x", "1992-02-29T02:47:06", None, []),
-    ("[thu dec 17 02:47:06 1992] x", "1992-12-17T02:47:06", None, []),
+    ("2019-02-11T08:15:42.5Z account=kim x", "2019-02-11T08:15:42", "kim", []),
+    ("date=1994-11-03 time=16:20:08 hi", "1994-11-03T16:20:08", None, []),
+    ("Oct  7 21:05:19 h door: entry for lee from 1.2.3.4",
+     "2026-10-07T21:05:19", "lee", ["1.2.3.4"]),
+    ("[Tue Nov 12 09:31:44 1996] [client 9.9.9.9] user ann: x",
+     "2026-11-12T09:31:44", "ann", ["9.9.9.9"]),
+    ("[Thu Feb 29 09:31:44 1996] x", "1996-02-29T09:31:44", None, []),
+    ("[tue nov 12 09:31:44 1996] x", "1996-11-12T09:31:44", None, []),
     ("Feb 29 01:02:03 x", None, None, []),
-    ("[Time 1998.05.04 10:45:30 +05] x", "1998-05-04T10:45:30", None, []),
-    ("19:32:06 x", "2026-01-01T19:32:06", None, []),
-    ("TRACE 2024-12-08 07:35:01 (bob@h1)", "2024-12-08T07:35:01", "bob@h1", []),
-    ("At 20:53:08 23/11/1982 user zed", "1982-11-23T20:53:08", "zed", []),
-    ("[12/Aug/1978:23:24:34 ] 1.2.3.4 5.6.7.8 7.7.7.7", "1978-08-12T23:24:34", None,
+    ("[Time 2003.09.21 13:02:55 +02] x", "2003-09-21T13:02:55", None, []),
+    ("14:08:27 x", "2026-01-01T14:08:27", None, []),
+    ("NOTE 2022-03-19 18:41:13 (bob@h1)", "2022-03-19T18:41:13", "bob@h1", []),
+    ("At 11:17:36 05/10/1997 user zed", "1997-10-05T11:17:36", "zed", []),
+    ("[30/Jan/1985:06:07:08 ] 1.2.3.4 5.6.7.8 7.7.7.7", "1985-01-30T06:07:08", None,
      ["1.2.3.4", "5.6.7.8", "7.7.7.7"]),
-    ("session closed for user root by (uid=0)", None, "root", []),
+    ("session closed for user omar by (uid=7)", None, "omar", []),
     ("1900-05-05T00:00:00 x", "2026-05-05T00:00:00", None, []),
     ("nothing here", None, None, []),
     ("", None, None, []),
     # A shape that matches but is no date leaves the row to the next shape.
-    ("2024-13-01T00:00:00 and 2024-12-08 07:35:01", "2024-12-08T07:35:01", None, []),
+    ("2024-13-01T00:00:00 and 2022-03-19 18:41:13", "2022-03-19T18:41:13", None, []),
     ("2024-02-30 01:02:03", None, None, []),
     ("2024-01-01T23:59:60", None, None, []),
     ("2024-01-01T24:00:00", None, None, []),
@@ -42,7 +42,7 @@ GOLDEN = [
     # Only the first occurrence of a shape is tried.
     ("2024-99-01T00:00:00 2024-01-01T00:00:00", None, None, []),
     ("Jan 5 1:02:03", None, None, []),
-    ("x 19:32:06 x", None, None, []),
+    ("x 14:08:27 x", None, None, []),
     ("[xyz 17 02:47:06 1992]", None, None, []),
     ("[012 17 02:47:06 1992]", None, None, []),
     ("Jan\t 05\n10:00:00", "2026-01-05T10:00:00", None, []),
@@ -117,8 +117,8 @@ def test_running_clock_and_null_log(spark):
 
 
 def test_instants(spark):
-    texts = ["2026-03-23T16:31:28.689+0000", "2026-03-23T18:31:28.689+02:00", "soon"]
+    texts = ["2031-07-09T05:06:07.250+0000", "2031-07-09T07:06:07.250+02:00", "soon"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     seen = [r[0] for r in df.select(
         F.unix_millis(parse_instant(F.col("t")))).collect()]
-    assert seen == [1774283488689, 1774283488689, None]
+    assert seen == [1941339967250, 1941339967250, None]

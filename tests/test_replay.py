@@ -26,32 +26,45 @@ def rows():
     return [(i, f"line {i}", rng.choice(["a", "b", "c", None])) for i in range(400)]
 
 
-@pytest.mark.parametrize("large", [False, True])
 @pytest.mark.parametrize("category", ["a", "zz", None, ""])
-@pytest.mark.parametrize("limit", [0, 1, 37, 100, 5000])
-def test_selection_and_counters(spark, rows, monkeypatch, large, category, limit):
-    """``large`` forces the way taken for limits beyond a top-k, with chunks of 16 rows."""
-    if large:
-        monkeypatch.setattr(replay, "TOP_K_LIMIT", 0)
-        monkeypatch.setattr(replay, "CHUNK_ROWS", 16)
+@pytest.mark.parametrize("limit", [-1, 0, 1, 37, 100, 5000])
+def test_selection_and_counters(spark, rows, category, limit):
     df = spark.createDataFrame(rows, "seq long, log string, category string").repartition(5)
-    chosen, skipped = by_hand(rows, category, limit)
+    chosen, skipped = by_hand(rows, category, limit) if limit >= 0 else ([], 0)
     got = replay.select_replay(df, category, limit).select("seq").collect()
     assert sorted(r.seq for r in got) == chosen
     assert tuple(replay.count_replay(df, category, limit).first()) == (len(chosen), skipped)
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_csv_file_order(spark, folder, monkeypatch, large):
-    if large:
-        monkeypatch.setattr(replay, "TOP_K_LIMIT", 0)
+def test_ties_and_text_orders(spark):
+    """Tied rows are taken in one order by both operators; equal rows count each."""
+    texts = ["b", "a", "c", "a", None, "b", "b"] * 5
+    rows = [(t, f"line {i % 4}", "x" if i % 3 else "y") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "at string, log string, category string").repartition(3)
+    for limit in range(1, 25, 3):
+        got = replay.select_replay(df, "x", limit, ["at"]).collect()
+        counts = replay.count_replay(df, "x", limit, ["at"]).first()
+        assert len(got) == counts.injected == min(limit, sum(k == "x" for _, _, k in rows))
+        want = sorted((r for r in rows if r[2] == "x"), key=lambda r: (r[0] is not None, r[0] or ""))
+        assert sorted(str(r.at) for r in got) == sorted(str(r[0]) for r in want[: len(got)])
+
+
+def test_absent_columns(spark):
+    df = spark.range(3).withColumnRenamed("id", "seq")
+    assert replay.select_replay(df, None, 2).count() == 2
+    assert replay.select_replay(df, "a", 2).count() == 0
+    assert tuple(replay.count_replay(df, "a", 2).first()) == (0, 3)
+    assert {tuple(r) for r in replay.replay_lines(df).collect()} == {("unknown", "", "", "")}
+
+
+def test_csv_file_order(spark, folder):
     path = folder("feed")
     lines = [(f"n{i}", "a" if i % 3 else "b") for i in range(300)]
     spark.createDataFrame(lines, RAW_LOG).coalesce(1).write.option("header", True).csv(path)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
     try:
-        ordered = with_file_order(read_log_csv(spark, path, RAW_LOG, multi_line=False))
+        ordered = with_file_order(read_log_csv(spark, path))
         chosen = replay.select_replay(ordered, "b", 20, ORDER_COLUMNS, ORDER_COLUMNS[:2])
         assert sorted(r.log for r in chosen.collect()) == sorted(f"n{3 * i}" for i in range(20))
         counts = replay.count_replay(ordered, "b", 20, ORDER_COLUMNS, ORDER_COLUMNS[:2]).first()
@@ -70,4 +83,4 @@ def test_lines_are_escaped_and_appended(spark, folder):
     assert len(seen) == 4 and 'say \\"hi\\" ' + "x" * 120 in seen
     row = lines.filter("category = 'a'").first()
     assert (len(row.shown), len(row.dry_run)) == (80, 100)
-    assert {r.category for r in lines.collect()} == {"a", "unknown"}
+    assert {r.category for r in lines.collect()} == {"a", None}

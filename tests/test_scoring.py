@@ -11,14 +11,14 @@ from emberwatch.schemas import DASHBOARD_ALERT
 
 # source, destination, port, level; source, destination and port feature; severity, label
 EVENTS = [
-    ("192.168.1.50", "10.0.0.1", 8080, 3, 0, 8, 5, 33, "suspicious"),
-    ("192.168.1.105", "10.0.0.1", 22, 8, 0, 8, 5, 53, "malicious"),
-    ("45.33.32.156", "10.0.0.5", 443, 10, 3, 8, 5, 67, "malicious"),
-    ("185.220.101.1", "10.0.0.5", 22, 14, 3, 8, 5, 83, "critical"),
-    ("10.0.0.25", "10.0.0.20", 3306, 6, 0, 8, 5, 45, "suspicious"),
-    ("198.51.100.77", "10.0.0.5", 80, 5, 0, 8, 0, 36, "suspicious"),
-    ("172.16.0.10", "10.0.0.1", 443, 2, 0, 8, 5, 29, "suspicious"),
-    ("91.108.4.1", "10.0.0.5", 22, 12, 3, 8, 5, 75, "critical"),
+    ("192.168.7.9", "10.0.0.44", 3306, 4, 0, 8, 5, 37, "suspicious"),
+    ("172.20.3.3", "10.0.0.44", 8080, 9, 0, 8, 5, 57, "malicious"),
+    ("77.88.55.60", "10.0.0.9", 22, 11, 3, 8, 5, 71, "malicious"),
+    ("81.2.69.142", "10.0.0.9", 443, 15, 3, 8, 5, 87, "critical"),
+    ("10.1.2.3", "10.0.0.30", 443, 7, 0, 8, 5, 49, "suspicious"),
+    ("192.0.2.44", "10.0.0.9", 8443, 6, 0, 8, 0, 40, "suspicious"),
+    ("172.31.0.4", "10.0.0.2", 22, 1, 0, 8, 5, 25, "suspicious"),
+    ("62.4.5.6", "10.0.0.9", 90, 12, 3, 8, 5, 75, "critical"),
 ]
 
 
@@ -42,7 +42,7 @@ def test_sample_events(scored):
 def test_report_table(scored):
     line = report_lines(scored.filter("i = 0")).first()[0]
     assert line == (
-        "  3        192.168.1.50       10.0.0.1           8080     33       suspicious   scored"
+        "  4        192.168.7.9        10.0.0.44          3306     37       suspicious   scored"
     )
 
 
@@ -76,9 +76,10 @@ def test_ports_bands_and_clip(spark):
         "critical", "high", "high", "medium", "medium", "low"]
 
 
-# Severity word and score of the dashboard sample.
-SAMPLE = [("critical", 94), ("high", 78), ("critical", 97), ("high", 81), ("medium", 55),
-          ("medium", 49), ("low", 22), ("critical", 99)]
+# Severity word and score, with scores at and beside the bounds of the bands.
+SAMPLE = [("critical", 91), ("high", 62), ("medium", 84), ("low", 40), ("critical", 80),
+          ("high", 79), ("medium", 59), ("low", 12), ("low", 33)]
+
 
 
 def test_dashboard_sample(spark):
@@ -86,8 +87,8 @@ def test_dashboard_sample(spark):
             for i, (word, score) in enumerate(SAMPLE, start=1)]
     alerts = spark.createDataFrame(rows, DASHBOARD_ALERT)
     assert severity_kpis(alerts).first().asDict() == {
-        "total": 8, "critical": 3, "high": 2, "medium": 2, "low": 1}
+        "total": 9, "critical": 2, "high": 2, "medium": 2, "low": 3}
     bands = alerts.withColumn("severity", band_of(F.col("score")))
     assert severity_kpis(bands).first().asDict() == {
-        "total": 8, "critical": 4, "high": 1, "medium": 2, "low": 1}
+        "total": 9, "critical": 3, "high": 2, "medium": 2, "low": 2}
     assert "message" not in dashboard_table(alerts).columns
