@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.ipaddr import DOTTED, is_ipv4
-from emberwatch.session import checkpointed
+from emberwatch.session import checkpointed, scratch_path
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -18,6 +18,8 @@ HOT_SHARE = 1000
 
 # Ranges are written out at whole-octet lengths, so an address needs only these four lookups.
 OCTETS = (1, 2, 3, 4)
+# How prefixes of one or two octets are spelled: the numbers and a final star.
+SHORT_PREFIX = r"\A(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2}))?\.\*\z"
 
 
 @dataclass(frozen=True)
@@ -31,7 +33,11 @@ class Lookup:
 def checked(
     entries: DataFrame, max_rows: int | None = None, max_bytes: int | None = None
 ) -> Lookup:
-    """Count the list and its text; only a list within both bounds is ever broadcast."""
+    """Store the list once, count it and its text; only one within both bounds is ever broadcast.
+
+    Every later use, each micro-batch of a stream too, reads the copy that was counted.
+    """
+    entries = _stored(entries, "list")
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
     size = entries.agg(
@@ -40,6 +46,12 @@ def checked(
     return Lookup(entries, size.n <= max_rows and size.b <= max_bytes)
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def flag_listed(
     events: DataFrame, lookup: Lookup, ip: str = "source_ip", flag: str = "listed"
 ) -> DataFrame:
@@ -57,8 +69,10 @@ def _flag_by_verdicts(events: DataFrame, lookup: Lookup, ip: str, flag: str) ->
     Addresses are counted first, so a hot one costs one row per task, and each distinct address
     is looked up once. If the listed ones among them are few, they act as a small list. If not,
     the addresses holding a thousandth or more of the rows, at most a thousand of them, are
-    answered from a broadcast, and only the others are joined by key.
+    answered from a broadcast, and only the others are joined by key. The events are evaluated once
+    and stored, since they are counted before they are flagged.
     """
+    events = _stored(events, "events")
     counts = (
         events.groupBy(F.col(ip).alias("entry")).agg(F.count("*").alias("n"))
         .filter("entry is not null")
@@ -162,19 +176,25 @@ def flag_in_ranges(
 
     ``expanded`` holds the output of ``expand_ranges``. A small list is probed four times, by
     whole-octet prefix, from one broadcast. A large one is resolved on the distinct addresses
-    first, and the addresses found then act as an exact list.
+    first, with short prefixes from a broadcast and the others by key, and the addresses found
+    then act as an exact list.
     """
     if expanded.small:
         return _probe(events, expanded, ip, flag)
+    events = _stored(events, "events")
     distinct = events.select(F.col(ip).alias("entry")).filter("entry is not null").distinct()
     valid = F.when(is_ipv4(F.col("entry")), F.col("entry"))
-    keys = F.array(*_prefix_keys(F.col("entry"), valid))
-    found = (
-        distinct.select("entry", F.explode(keys).alias("prefix"))
-        .join(expanded.entries.withColumnRenamed("entry", "prefix"), "prefix", "left_semi")
-        .select("entry")
-        .distinct()
+    one, two, *long = _prefix_keys(F.col("entry"), valid)
+    # Prefixes of one or two octets would be hot keys, but there are at most 65,792 of them.
+    is_short = F.col("prefix").rlike(SHORT_PREFIX)
+    entries = expanded.entries.withColumnRenamed("entry", "prefix")
+    by_short = distinct.select("entry", F.explode(F.array(one, two, F.col("entry"))).alias("prefix")).join(
+        F.broadcast(entries.filter(is_short)), "prefix", "left_semi"
+    )
+    by_long = distinct.select("entry", F.explode(F.array(*long)).alias("prefix")).join(
+        entries.filter(~is_short), "prefix", "left_semi"
     )
+    found = by_short.select("entry").unionByName(by_long.select("entry")).distinct()
     return flag_listed(events, checked(found), ip, flag)
 
 

@@ -241,6 +241,18 @@ def blocklist_anti(spark, sf_dir):
     return membership.only_unlisted(_sources(spark, sf_dir), lookup)
 
 
+@query
+def blocklist_semi_shuffled(spark, sf_dir):
+    lookup = membership.Lookup(_blocklist(spark, sf_dir), small=False)
+    return membership.only_listed(_sources(spark, sf_dir), lookup)
+
+
+@query
+def blocklist_anti_shuffled(spark, sf_dir):
+    lookup = membership.Lookup(_blocklist(spark, sf_dir), small=False)
+    return membership.only_unlisted(_sources(spark, sf_dir), lookup)
+
+
 @query
 def blocklist_cidr(spark, sf_dir):
     ranges = membership.checked(membership.expand_ranges(_blocklist(spark, sf_dir)))
@@ -587,3 +599,37 @@ def stream_kpi_24h(spark, sf_dir):
     return counts.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")).withColumn(
         "end", F.date_format("end", "yyyy-MM-dd HH:mm:ss")
     )
+
+
+@query
+def stream_buffer(spark, sf_dir):
+    """The last 500 results over several polls, in insertion order of poll and time."""
+    path, kept = scratch_path(spark, "stream-results"), scratch_path(spark, "stream-buffer")
+    order = [("ts", False), ("alert_id", False)]
+    run = streams.start_results(
+        _alert_stream(spark, sf_dir, 3),
+        lambda batch: results.score_alerts(batch, as_of=AS_OF, keep=("alert_id", "ts")),
+        path, scratch_path(spark, "stream-state"), once=True, buffer_path=kept,
+        buffer_order=order, key="alert_id",
+    )
+    run.awaitTermination()
+    page = streams.read_buffer(spark, kept, order, 0)
+    # Which file a poll takes first is the file source's choice, so the count is what is fixed.
+    return page.agg(F.count("*").alias("kept"), F.countDistinct("alert_id").alias("alerts"))
+
+
+@query
+def replay_paced(spark, sf_dir):
+    """Batch number of every replayed row; batches follow the row numbers."""
+    source, path = scratch_path(spark, "paced-rows"), scratch_path(spark, "paced")
+    rows = tables.raw_logs(spark, sf_dir)
+    rows.repartitionByRange("seq").write.parquet(source)
+    stored = spark.read.parquet(source)
+    top = stored.agg(F.max("seq")).first()[0]
+    size = -(-(top + 1) // 4)
+    run = streams.start_paced(stored, path, scratch_path(spark, "stream-state"), size, 4,
+                              every="0 seconds")
+    while run.isActive and (run.lastProgress or {"batchId": -1})["batchId"] < 4:
+        run.awaitTermination(1)
+    streams.stop(run)
+    return spark.read.parquet(path).select("seq", F.col("batch_id").cast("int").alias("batch"))

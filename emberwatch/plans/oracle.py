@@ -467,3 +467,9 @@ SQL["model_scores"] = f"""with {SCORED} select alert_id, level, source_ip_securi
 SQL["model_reuse"] = f"with {NORMALIZED} select alert_id, true as same from normalized"
 SQL["blocklist_flag_shuffled"] = SQL["blocklist_flag"]
 SQL["blocklist_cidr_shuffled"] = SQL["blocklist_cidr"]
+SQL["blocklist_semi_shuffled"] = SQL["blocklist_semi"]
+SQL["blocklist_anti_shuffled"] = SQL["blocklist_anti"]
+SQL["stream_buffer"] = """select least(500, count(*))::bigint as kept,
+  least(500, count(*))::bigint as alerts from events"""
+SQL["replay_paced"] = """select event_id as seq,
+  (event_id // ceil((max(event_id) over () + 1) / 4)::bigint)::int as batch from events"""
