@@ -261,22 +261,26 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def clusters(docs: DataFrame, fingerprinted: DataFrame | None = None) -> DataFrame:
-    """``doc_id``, ``print``, ``root`` and ``component_id`` of every row.
-
-    ``root`` is a fingerprint of the component, ``component_id`` its smallest ``doc_id``.
-    """
-    prints = fingerprinted if fingerprinted is not None else stored(fingerprints(docs), "prints")
+def rooted(prints: DataFrame) -> DataFrame:
+    """``print``, ``root`` and ``component_id`` of every distinct fingerprint of (doc_id, print)."""
     distinct = stored(
         prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct-prints"
     )
     joined = components(links(distinct.select("print")))
-    rooted = distinct.join(joined.withColumnRenamed("node", "print"), "print", "left").select(
+    named = distinct.join(joined.withColumnRenamed("node", "print"), "print", "left").select(
         "print", "least", F.coalesce("root", "print").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(least, "root").select("print", "root", "component_id"), "rooted")
-    return prints.join(named, "print").select("doc_id", "print", "root", "component_id")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return stored(named.join(least, "root").select("print", "root", "component_id"), "rooted")
+
+
+def clusters(docs: DataFrame, fingerprinted: DataFrame | None = None) -> DataFrame:
+    """``doc_id``, ``print``, ``root`` and ``component_id`` of every row.
+
+    ``root`` is a fingerprint of the component, ``component_id`` its smallest ``doc_id``.
+    """
+    prints = fingerprinted if fingerprinted is not None else stored(fingerprints(docs), "prints")
+    return prints.join(rooted(prints), "print").select("doc_id", "print", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -292,11 +296,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", match.alias("match"))
     prints = stored(rows.mapInArrow(_matched, "match string, doc_id long, print long"), "prints")
     each = prints.groupBy("match", "doc_id", "print").agg(F.count("*").alias("copies"))
-    roots_ = clusters(docs, prints.select("doc_id", "print")).select("print", "root").distinct()
-    first = F.min(F.struct(F.isnull("doc_id"), "doc_id", "match", "copies")).alias("first")
+    place = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "match", "copies")
+    # Rows of one fingerprint are cut to one before they meet the others of the component.
+    first = each.groupBy("print").agg(F.min(place).alias("first"))
     winners = stored(
-        each.join(roots_, "print").groupBy("root").agg(first)
-        .select("first.match", "first.copies"), "kept-documents",
+        first.join(rooted(prints.select("doc_id", "print")), "print").groupBy("root")
+        .agg(F.min("first").alias("first")).select("first.match", "first.copies"),
+        "kept-documents",
     )
     packed = docs.select(F.struct("*").alias("row"), match.alias("match"))
     kept = packed.join(winners, "match")
