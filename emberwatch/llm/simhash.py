@@ -35,22 +35,28 @@ CHUNK = 20_000
 _BLOCK_PAIRS = list(combinations(range(4), 2))
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Unsigned 64-bit SimHash of the word shingles, by majority of their XXH64 bits."""
+def shingle_hashes(text: str | None, words: int) -> list[int]:
+    """XXH64 of the word shingles, in order; fewer words are one shingle, no word is none."""
     import xxhash
 
     # Lowers A-Z alone and splits at ASCII white space, as the bytes of UTF-8.
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return []
     line = b" ".join(found)
     if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        firsts = np.concatenate([[0], ends[:-1] + 1])[: len(found) - words + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(firsts, ends[words - 1 :].tolist())]
+        return [xxhash.xxh64_intdigest(line, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    firsts = np.concatenate([[0], ends[:-1] + 1])[: len(found) - words + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], SEED) for a, b in zip(firsts, ends[words - 1 :].tolist())]
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """Unsigned 64-bit SimHash of the word shingles, by majority of their XXH64 bits."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     total = np.zeros(64, np.int64)
     for low in range(0, len(hashes), CHUNK):
         part = np.array(hashes[low : low + CHUNK], ">u8").view(np.uint8)
@@ -108,6 +114,12 @@ def link_masks(planes: np.ndarray, queries: np.ndarray, radius: int = RADIUS) ->
     return ~past
 
 
+def spans_of(first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of several ranges in a row, and where each range starts among them."""
+    starts = np.cumsum(lengths) - lengths
+    return np.arange(lengths.sum()) + np.repeat(first - starts, lengths), starts
+
+
 def _bit_planes(prints: np.ndarray) -> np.ndarray:
     """(groups, members) fingerprints as (64, groups, words) planes; members a multiple of 64."""
     groups, members = prints.shape
@@ -283,28 +295,26 @@ def clusters(docs: DataFrame, fingerprinted: DataFrame | None = None) -> DataFra
     return prints.join(rooted(prints), "print").select("doc_id", "print", "root", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of every component, with its own columns: that with the smallest ``doc_id``.
-
-    Null ids come last, equal ones are told apart by a digest of id and text, and of repeated rows
-    one stays. The text itself is shuffled once.
-    """
-    match = F.sha2(F.concat_ws(
+def match_of() -> Column:
+    """A digest of a row's id and text."""
+    return F.sha2(F.concat_ws(
         "\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
         F.coalesce("text", F.lit("")),
     ), 256)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", match.alias("match"))
-    prints = stored(rows.mapInArrow(_matched, "match string, doc_id long, print long"), "prints")
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """The first document of every ``root``; prints with ``match``, ``doc_id`` and ``print``."""
     each = prints.groupBy("match", "doc_id", "print").agg(F.count("*").alias("copies"))
     place = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "match", "copies")
     # Rows of one fingerprint are cut to one before they meet the others of the component.
     first = each.groupBy("print").agg(F.min(place).alias("first"))
     winners = stored(
-        first.join(rooted(prints.select("doc_id", "print")), "print").groupBy("root")
+        first.join(roots, "print").groupBy("root")
         .agg(F.min("first").alias("first")).select("first.match", "first.copies"),
         "kept-documents",
     )
-    packed = docs.select(F.struct("*").alias("row"), match.alias("match"))
+    packed = docs.select(F.struct("*").alias("row"), match_of().alias("match"))
     kept = packed.join(winners, "match")
     if winners.filter("copies > 1").isEmpty():
         return kept.select("row.*")
@@ -312,5 +322,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return kept.filter("copies = 1").unionByName(once).select("row.*")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of every component, with its own columns: that with the smallest ``doc_id``.
+
+    Null ids come last, equal ones are told apart by a digest of id and text, and of repeated rows
+    one stays. The text itself is shuffled once.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", match_of().alias("match"))
+    prints = stored(rows.mapInArrow(_matched, "match string, doc_id long, print long"), "prints")
+    return keep_first(docs, prints, rooted(prints.select("doc_id", "print")))
+
+
 def hexadecimal(prints: str) -> Column:
     return F.lower(F.lpad(F.hex(prints), 16, "0"))
