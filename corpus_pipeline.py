@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import decontamination, near_copies, packing, quality, secrets
+from emberwatch.llm import decontamination, packing, quality, secrets, simhash
 from emberwatch.llm.common import stored, table
 
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8) the smallest id stays."""
-    return near_copies.keep_one(docs)
+    """Of each group of linked fingerprints the document with the smallest id stays."""
+    return simhash.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
