@@ -24,6 +24,23 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# A key is hot if one in this many rows has it, so no more than this many keys are.
+HOT_SHARE = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, copies: str = "copies") -> DataFrame:
+    """Each row with the facts of its key, for stored rows and facts of one row per key.
+
+    ``copies`` says how many rows a key has. Keys that hold a thousandth of the rows or more, at most a
+    thousand of them, are answered from a broadcast; only rows of other keys meet by key.
+    """
+    total = facts.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    is_hot = F.col(copies) * HOT_SHARE >= F.lit(total)
+    hot = facts.filter(is_hot)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(facts.filter(~is_hot), key))
+
+
 def match_starts(text: Column, pattern: str, matches: Column) -> Column:
     """0-based code point starts of the matches that ``regexp_extract_all`` found.
 

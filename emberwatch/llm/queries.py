@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from emberwatch.llm import chat, decontamination, language, licences, packing, personal, quality, secrets, simhash, token_store
+from emberwatch.llm import (
+    chat, decontamination, exact_dedup, language, licences, merkle, packing, personal, quality, secrets,
+    simhash, token_store, vector_codes,
+)
 from emberwatch.llm.common import table
 from emberwatch.llm.registry import REGISTRY, SQL, query
 from emberwatch.session import scratch_path
@@ -80,3 +83,34 @@ def op9_personal_data(spark, sf_dir):
 @query
 def op10_secret_scans(spark, sf_dir):
     return secrets.describe(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"), merkle.lower_some)
+
+
+SQL["op11_merkle_manifest"] = merkle.SQL
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_vector_codes"] = vector_codes.SQL
+
+
+@query
+def op13_exact_dedup(spark, sf_dir):
+    """The documents as two loads, large ids first, into a new index."""
+    docs = table(spark, sf_dir, "documents")
+    index = exact_dedup.create_index(
+        spark, scratch_path(spark, "digest-index"), exact_dedup.buckets_for(docs.count())
+    )
+    loads = [exact_dedup.absorb(index, part, f"load {i}")
+             for i, part in enumerate(exact_dedup.newest_first(docs, 2))]
+    return exact_dedup.report(index, loads)
+
+
+SQL["op13_exact_dedup"] = exact_dedup.SQL
