@@ -158,7 +158,8 @@ def first_books(rows: DataFrame) -> list[np.ndarray]:
     """Every part's codebook: that part of the ENTRIES smallest ids, in ascending order."""
     order = [F.col("vec_id").asc_nulls_last(), F.col("vector").asc()]
     least = first_rows(rows.select("vec_id", "vector"), ENTRIES, *order).collect()
-    whole = np.array([r.vector for r in least], np.int64).reshape(len(least), PARTS, -1)
+    width = len(least[0].vector) // PARTS if least else 1
+    whole = np.array([r.vector for r in least], np.int64).reshape(len(least), PARTS, width)
     return [whole[:, i] for i in range(PARTS)]
 
 
