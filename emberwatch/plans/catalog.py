@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +22,20 @@ from emberwatch.plans import tables
 from emberwatch.schemas import ALERT, EVENT
 from emberwatch.session import apply_settings, scratch_path
 from emberwatch.sources import alerts as alert_source
+from emberwatch.sources import polling
 from emberwatch.sources.blocklist import clean_blocklist
 from emberwatch.sources.logs import read_log_csv
 from emberwatch.sources.synthetic import synthesize
 from emberwatch.streaming import alerts as streams
+from emberwatch.streaming import panes
 
 # Rows without a usable time fall back to this moment, and year-less times to its year.
 AS_OF = "2024-02-15T12:00:00+00:00"
 KPI_TIME = "2024-01-20 00:00:00"
+READING_TIMES = [
+    "2024-01-02 06:01:00", "2024-01-20 00:00:00", "2024-01-20 13:37:00", "2024-01-31 23:59:00",
+    "2030-01-01 00:00:00",
+]
 REPLAY_CATEGORY = "error"
 REPLAY_LIMIT = 100
 KEEP = ("alert_id",)
@@ -601,21 +608,77 @@ def stream_kpi_24h(spark, sf_dir):
     )
 
 
+@query
+def stream_kpi_rolling(spark, sf_dir):
+    """The 24 hours up to several reading times; alerts arrive in no order of time, and repeated."""
+    path = scratch_path(spark, "stream-panes")
+    scored = results.score_alerts(
+        _alert_stream(spark, sf_dir, 4, copies=2), as_of=AS_OF, keep=("alert_id", "ts")
+    )
+    run = panes.start_rolling_counts(
+        tables.dashboard_alerts(scored), path, scratch_path(spark, "stream-state"), once=True, key="id",
+    )
+    run.awaitTermination()
+    counts = panes.rolling_counts(spark, path, [datetime.fromisoformat(t) for t in READING_TIMES])
+    return counts.withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query
 def stream_buffer(spark, sf_dir):
-    """The last 500 results over several polls, in insertion order of poll and time."""
-    path, kept = scratch_path(spark, "stream-results"), scratch_path(spark, "stream-buffer")
+    """The last 500 results of three streams, each with a checkpoint of its own, on one buffer.
+
+    Every stream finds the alerts of those before it again and adds the third that is new.
+    """
+    source, path = scratch_path(spark, "alert-files"), scratch_path(spark, "stream-results")
+    kept = scratch_path(spark, "stream-buffer")
+    rows = tables.alerts(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     order = [("ts", False), ("alert_id", False)]
+    for third in range(3):
+        rows.filter(F.col("alert_id") % 3 == third).write.mode("append").parquet(source)
+        run = streams.start_results(
+            alert_source.stream_alerts(spark, source, schema=rows.schema, file_format="parquet"),
+            lambda batch: results.score_alerts(batch, as_of=AS_OF, keep=("alert_id", "ts")),
+            path, scratch_path(spark, "stream-state"), once=True, buffer_path=kept,
+            buffer_order=order, key="alert_id",
+        )
+        run.awaitTermination()
+    page = streams.read_buffer(spark, kept, order, 0)
+    return page.select("alert_id", "source_ip", "event_type", "severity", "label", "status")
+
+
+@query
+def stream_metrics(spark, sf_dir):
+    """Rows read, repeats dropped and rows written, over the batches of a stream."""
+    path = scratch_path(spark, "stream-results")
     run = streams.start_results(
-        _alert_stream(spark, sf_dir, 3),
-        lambda batch: results.score_alerts(batch, as_of=AS_OF, keep=("alert_id", "ts")),
-        path, scratch_path(spark, "stream-state"), once=True, buffer_path=kept,
-        buffer_order=order, key="alert_id",
+        _alert_stream(spark, sf_dir, 4, copies=3),
+        lambda batch: results.score_alerts(batch, as_of=AS_OF, keep=KEEP),
+        path, scratch_path(spark, "stream-state"), once=True, key="alert_id",
     )
     run.awaitTermination()
-    page = streams.read_buffer(spark, kept, order, 0)
-    # Which file a poll takes first is the file source's choice, so the count is what is fixed.
-    return page.agg(F.count("*").alias("kept"), F.countDistinct("alert_id").alias("alerts"))
+    return streams.batch_metrics(spark, path).agg(
+        F.count("*").alias("batches"),
+        *[F.sum(n).alias(n) for n in ("polled", "repeats", "written")],
+    )
+
+
+@query
+def stream_polled(spark, sf_dir):
+    """Alerts polled from JSON files an eighth at a time, however the files are cut."""
+    source, path = scratch_path(spark, "alert-lines"), scratch_path(spark, "stream-results")
+    state, rows = scratch_path(spark, "poll-state"), tables.alerts(spark, sf_dir)
+    rows.drop("alert_id", "ts").write.json(source)
+    cap = max(1, -(-rows.count() // 8))
+    polled = polling.poll_alerts(spark, source, f"{state}/ledger", f"{state}/checkpoint", cap)
+    run = streams.start_results(
+        polled, lambda batch: results.score_alerts(batch, as_of=AS_OF, keep=("id",)), path,
+        f"{state}/checkpoint", every="0 seconds",
+    )
+    run.processAllAvailable()
+    streams.stop(run)
+    found = spark.read.parquet(path)
+    sizes = found.groupBy("batch_id").agg((F.count("*") <= cap).alias("within_cap"))
+    return found.join(sizes, "batch_id").select("id", "severity", "label", "status", "within_cap")
 
 
 @query

@@ -10,6 +10,10 @@ from emberwatch.plans.tables import COLON_FORMS
 
 AS_OF = "2024-02-15T12:00:00+00:00"
 YEAR = 2024
+READING_TIMES = [
+    "2024-01-02 06:01:00", "2024-01-20 00:00:00", "2024-01-20 13:37:00", "2024-01-31 23:59:00",
+    "2030-01-01 00:00:00",
+]
 
 W = r"[\p{L}\p{N}_]"
 S = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
@@ -469,7 +473,20 @@ SQL["blocklist_flag_shuffled"] = SQL["blocklist_flag"]
 SQL["blocklist_cidr_shuffled"] = SQL["blocklist_cidr"]
 SQL["blocklist_semi_shuffled"] = SQL["blocklist_semi"]
 SQL["blocklist_anti_shuffled"] = SQL["blocklist_anti"]
-SQL["stream_buffer"] = """select least(500, count(*))::bigint as kept,
-  least(500, count(*))::bigint as alerts from events"""
+SQL["stream_kpi_rolling"] = f"""with {UNLISTED},
+  dash as (select ts, case when severity >= 80 then 'critical' when severity >= 60 then 'high'
+    when severity >= 40 then 'medium' else 'low' end as severity from scored),
+  times as (select unnest({READING_TIMES!r})::timestamp as moment)
+  select strftime(moment, '%Y-%m-%d %H:%M:%S') as as_of, count(ts) as total,
+    count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'high') as high,
+    count(*) filter (severity = 'medium') as medium, count(*) filter (severity = 'low') as low
+  from times left join dash on ts <= moment and ts > moment - interval 24 hours group by moment"""
+SQL["stream_buffer"] = f"""with {UNLISTED}
+  select alert_id, source_ip, event_type, severity, label, status from scored
+  order by alert_id % 3 desc, ts, alert_id limit 500"""
+SQL["stream_metrics"] = """select 4::bigint as batches, (3 * count(*))::bigint as polled,
+  (2 * count(*))::bigint as repeats, count(*)::bigint as written from events"""
+SQL["stream_polled"] = f"""with {UNLISTED} select alert_id::varchar as id, severity, label, status,
+  true as within_cap from scored"""
 SQL["replay_paced"] = """select event_id as seq,
   (event_id // ceil((max(event_id) over () + 1) / 4)::bigint)::int as batch from events"""

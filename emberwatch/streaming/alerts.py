@@ -1,23 +1,24 @@
-"""Alert streams: duplicate suppression, enrichment, the recent buffer and daily counts."""
+"""Alert streams: duplicate suppression, enrichment, the recent buffer, counts and metrics."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberwatch.operators.buffer import CAPACITY, append_events, recent_events
 from emberwatch.operators.dashboard import SEVERITIES, severity_counts
 from emberwatch.schemas import ALERT
+from emberwatch.streaming.keys import KeyStore, day_of
+from emberwatch.streaming.segments import CommitLog
 
 # Poll interval.
 POLL = "15 seconds"
 
-# Batches whose days are this many at most read only the keys stored for those days.
-KEY_DAYS = 400
-BUFFER_VERSIONS = 3
+METRICS = "run string, batch_id bigint, polled bigint, repeats bigint, written bigint"
 
 
 def alert_key(columns: list[str] | None = None) -> Column:
@@ -37,39 +38,43 @@ def _run_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.json(f"{checkpoint}/metadata").first()["id"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.exists(target)
+def _firsts(batch: DataFrame, key: str) -> DataFrame:
+    """One row of each key: the one whose content has the smallest digest, so a rerun keeps the same."""
+    content = F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), 256)
+    return batch.groupBy(F.col(key).alias("_own")).agg(
+        F.min_by(F.struct("*"), content).alias("_row")).select("_row.*")
 
 
-def _unseen(
-    batch: DataFrame, key: str, event_time: str, path: str, run: str, batch_id: int
-) -> DataFrame:
-    """The batch's rows whose key no other batch has stored, each key once.
+class Unseen:
+    """The rows of a batch whose key no other batch has stored, each key once.
 
     Keys are stored by the day of the event, so a batch reads only the days it touches. Whether an
     alert is a repeat never depends on its age or on how the input is cut into batches. A batch
-    that is run again replaces its own keys.
+    that is run again gets the same rows. The batch is read once; what it is held in is released at
+    the end.
     """
-    spark = batch.sparkSession
-    day = F.coalesce(F.date_format(event_time, "yyyy-MM-dd"), F.lit("none"))
-    own = batch.select(F.col(key).cast("string").alias("_key"), day.alias("_day")).distinct()
-    stored = f"{path}/_keys"
-    new = own
-    if _exists(spark, stored):
-        shape = "_key string, _day string, _run string, _batch bigint"
-        seen = spark.read.schema(shape).parquet(stored)
-        seen = seen.filter(~((F.col("_run") == run) & (F.col("_batch") == batch_id)))
-        days = [r[0] for r in own.select("_day").distinct().limit(KEY_DAYS + 1).collect()]
-        if len(days) <= KEY_DAYS:
-            seen = seen.filter(F.col("_day").isin(days))
-        new = own.join(seen.select("_key", "_day"), ["_key", "_day"], "left_anti")
-    target = f"{stored}/_run={run}/_batch={batch_id}"
-    new.write.mode("overwrite").partitionBy("_day").parquet(target)
-    written = spark.read.schema("_key string, _day string").parquet(target).select(F.col("_key").alias("_stored"))
-    rows = batch.dropDuplicates([key])
-    return rows.join(written, rows[key].cast("string") == written["_stored"], "left_semi")
+
+    def __init__(
+        self, batch: DataFrame, key: str | None, event_time: str, path: str, run: str, batch_id: int
+    ):
+        self.polled = Observation()
+        self.rows = batch.observe(self.polled, F.count("*").alias("n"))
+        self.cached: list[DataFrame] = []
+        if key:
+            firsts = _firsts(self.rows, key).withColumn("_day", day_of(event_time)).persist()
+            own = firsts.select(F.col(key).cast("string").alias("_key"), "_day")
+            admitted = KeyStore(batch.sparkSession, f"{path}/_keys").admit(own, run, batch_id)
+            self.cached = [firsts, admitted]
+            known = admitted.select(F.col("_key").alias("_known"), F.col("_day").alias("_on"))
+            found = (F.col(key).cast("string") == F.col("_known")) & (F.col("_day") == F.col("_on"))
+            self.rows = firsts.join(known, found, "left_semi").drop("_day")
+
+    def __enter__(self) -> Unseen:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for held in self.cached:
+            held.unpersist()
 
 
 def start_results(
@@ -86,83 +91,95 @@ def start_results(
     """
     spark = alerts.sparkSession
     if buffer_path:
-        shape = enrich_batch(spark.createDataFrame([], alerts.schema))
-        create_buffer(shape, buffer_path)
+        create_buffer(enrich_batch(spark.createDataFrame([], alerts.schema)), buffer_path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         run = _run_id(session, checkpoint)
-        # The batch is looked at for its keys and again for its rows, but read once.
-        held = batch.persist() if key else batch
-        rows = _unseen(held, key, event_time, path, run, batch_id) if key else batch
         target = f"{path}/run={run}/batch_id={batch_id}"
-        enrich_batch(rows).write.mode("overwrite").parquet(target)
-        held.unpersist()
+        with Unseen(batch, key, event_time, path, run, batch_id) as unseen:
+            fresh, stored = Observation(), Observation()
+            found = enrich_batch(unseen.rows.observe(fresh, F.count("*").alias("n")))
+            found = found.observe(stored, F.count("*").alias("n"))
+            found.write.mode("overwrite").parquet(target)
+        counts = [seen.get["n"] for seen in (unseen.polled, fresh, stored)]
+        _write_metrics(session, path, run, batch_id, counts[0], counts[0] - counts[1], counts[2])
         if buffer_path:
-            update_buffer(session.read.parquet(target), batch_id, buffer_path,
+            update_buffer(session.read.parquet(target), run, batch_id, buffer_path,
                           buffer_order or [], capacity)
 
     writer = alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _started(writer, once, every)
 
 
+def _write_metrics(
+    spark: SparkSession, path: str, run: str, batch_id: int, *counts: int
+) -> None:
+    """One row beside the results; a batch that is run again replaces its own."""
+    row = spark.createDataFrame([(run, batch_id, *counts)], METRICS).coalesce(1)
+    row.write.mode("overwrite").json(f"{path}/_metrics/{run}-{batch_id}")
+
+
+def batch_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Rows read, repeats dropped and rows written by every batch of every run."""
+    return spark.read.schema(METRICS).json(f"{path}/_metrics/*")
+
+
+def _buffer_log(spark: SparkSession, path: str) -> CommitLog:
+    return CommitLog(spark, f"{path}/log")
+
+
 def create_buffer(shape: DataFrame, path: str) -> None:
-    """An empty first version, unless the buffer exists."""
-    empty = shape.limit(0).withColumn("batch_id", F.lit(-1).cast("bigint"))
-    empty.write.mode("ignore").parquet(f"{path}/version=-1")
+    """An empty first epoch, unless the buffer exists."""
+    log = _buffer_log(shape.sparkSession, path)
+    if log.latest()[0] < 0:
+        rows = _buffer_rows(shape.limit(0).withColumn("epoch", F.lit(0).cast("bigint")), path)
+        log.add(0, {"rows": rows, "runs": {}})
+
+
+def _buffer_rows(rows: DataFrame, path: str) -> str:
+    name = f"rows-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{name}")
+    return name
 
 
 def update_buffer(
-    batch: DataFrame, batch_id: int, path: str, order: list[tuple[str, bool]],
+    batch: DataFrame, run: str, batch_id: int, path: str, order: list[tuple[str, bool]],
     capacity: int = CAPACITY,
 ) -> None:
-    """Write the version after this batch: the last events of the old version and the batch."""
-    spark = batch.sparkSession
-    before = _version(spark, path, batch_id)
-    # Only the end of the batch can stay, so it is cut before it meets the buffer.
-    fresh = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    fresh = recent_events(fresh, order, 0, capacity)
-    both = append_events(before, fresh) if len(before.columns) > 1 else fresh
-    kept = recent_events(both, [("batch_id", True), *order], 0, capacity)
-    kept.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-    _drop_old_versions(spark, path, batch_id)
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished versions, of which only the last few are kept."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "version=*/_SUCCESS"))
-    return sorted(
-        int(s.getPath().getParent().getName().removeprefix("version=")) for s in done or []
-    )
-
+    """Commit the epoch after this batch: the last events of the epoch before it and the batch.
 
-def _version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
-    """The newest finished version; no rows if there is none."""
-    numbers = [n for n in _versions(spark, path) if below is None or n < below]
-    if not numbers:
-        return spark.createDataFrame([], "batch_id bigint")
-    return spark.read.parquet(f"{path}/version={numbers[-1]}")
-
-
-def _drop_old_versions(spark: SparkSession, path: str, newest: int) -> None:
-    jvm = spark.sparkContext._jvm
-    for number in [n for n in _versions(spark, path) if n <= newest][:-BUFFER_VERSIONS]:
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/version={number}")
-        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.delete(target, True)
+    Epochs rise over all runs, so a new checkpoint continues the buffer it finds. A batch that is
+    in already adds nothing, and of two streams that commit at once the later one starts over.
+    """
+    spark = batch.sparkSession
+    log = _buffer_log(spark, path)
+    while True:
+        epoch, state = log.latest()
+        runs = state.get("runs", {})
+        if runs.get(run, -1) >= batch_id:
+            return
+        # Only the end of the batch can stay, so it is cut before it meets the buffer.
+        fresh = batch.withColumn("epoch", F.lit(epoch + 1).cast("bigint"))
+        fresh = recent_events(fresh, order, 0, capacity)
+        before = spark.read.parquet(f"{path}/{state['rows']}") if state else fresh.limit(0)
+        kept = recent_events(append_events(before, fresh), [("epoch", True), *order], 0, capacity)
+        rows = _buffer_rows(kept, path)
+        if log.add(epoch + 1, {"rows": rows, "runs": {**runs, run: batch_id}}):
+            return log.prune(lambda entry: {entry["rows"]})
+        log.drop(rows)
 
 
 def read_buffer(
     spark: SparkSession, path: str, order: list[tuple[str, bool]], limit: int = 100,
     capacity: int = CAPACITY,
 ) -> DataFrame:
-    newest = _version(spark, path)
-    if len(newest.columns) == 1:
-        return newest
-    return recent_events(newest, [("batch_id", True), *order], limit, capacity)
+    """The last ``limit`` events of the newest epoch; no rows if there is no buffer."""
+    _, state = _buffer_log(spark, path).latest()
+    if not state:
+        return spark.createDataFrame([], "epoch bigint")
+    rows = spark.read.parquet(f"{path}/{state['rows']}")
+    return recent_events(rows, [("epoch", True), *order], limit, capacity)
 
 
 def start_daily_counts(
@@ -175,13 +192,11 @@ def start_daily_counts(
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         run = _run_id(batch.sparkSession, checkpoint)
-        held = batch.persist() if key else batch
-        rows = _unseen(held, key, event_time, path, run, batch_id) if key else batch
-        counts = rows.groupBy(F.window(event_time, "24 hours").alias("day")).agg(
-            *severity_counts()
-        ).select("day.start", "day.end", "total", *SEVERITIES)
-        counts.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
-        held.unpersist()
+        with Unseen(batch, key, event_time, path, run, batch_id) as unseen:
+            counts = unseen.rows.groupBy(F.window(event_time, "24 hours").alias("day")).agg(
+                *severity_counts()
+            ).select("day.start", "day.end", "total", *SEVERITIES)
+            counts.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
     writer = alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _started(writer, once, every)
