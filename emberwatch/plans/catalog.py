@@ -12,7 +12,7 @@ from emberwatch.functions import ipaddr
 from emberwatch.functions.extract import addresses, clock, nth_address, parse_timestamp, parse_user
 from emberwatch.functions.scoring import label_of, rule_score
 from emberwatch.operators import (
-    buffer, dashboard, explain, membership, model, replay, results, sinks,
+    boosting, buffer, dashboard, explain, membership, model, replay, results, sinks,
 )
 from emberwatch.operators.normalize import (
     fill_defaults, normalize_alerts, normalize_fields, normalize_logs, row_json,
@@ -378,6 +378,14 @@ def replay_selection(spark, sf_dir):
     return replay.replay_lines(replay.select_replay(rows, REPLAY_CATEGORY, REPLAY_LIMIT), ("seq",))
 
 
+@query
+def replay_selection_cut(spark, sf_dir):
+    """The same selection by the way taken when the limit is too large for a top-k."""
+    rows = tables.raw_logs(spark, sf_dir)
+    chosen = replay.select_replay(rows, REPLAY_CATEGORY, REPLAY_LIMIT, top=0)
+    return replay.replay_lines(chosen, ("seq",))
+
+
 @query
 def replay_everything(spark, sf_dir):
     rows = tables.raw_logs(spark, sf_dir)
@@ -467,6 +475,8 @@ _MODELS: dict[tuple[str, str], tuple[str, str]] = {}
 # model knows neither, and its own error comes on top.
 MAE_BOUND = 4.0
 RULE_BOUND = 30
+# Distance to the rule for the leaf-wise model, where training rows are many.
+LEAF_BOUND = 8
 
 
 def _trained(spark: SparkSession, sf_dir: str):
@@ -529,6 +539,55 @@ def model_reuse(spark, sf_dir):
     return first.join(second, "alert_id").select("alert_id", same.alias("same"))
 
 
+def _leafwise(spark: SparkSession, sf_dir: str) -> tuple[boosting.LeafwiseModel, DataFrame]:
+    rows = synthesize(tables.table(spark, sf_dir, "events"), "event_id")
+    folded = model.fold(model.training_features(rows))
+    return boosting.fit_leafwise(folded), folded
+
+
+@query
+def leafwise_root(spark, sf_dir):
+    """The first split of the first tree: the gain of the best cut over all training rows."""
+    fitted, _ = _leafwise(spark, sf_dir)
+    path = scratch_path(spark, "leafwise")
+    fitted.save(spark, path)
+    root = spark.read.parquet(f"{path}/splits").filter("tree = 0 and node = 0")
+    return root.select("feature", "threshold", F.round("gain", 3).alias("gain"),
+                       F.col("weight").cast("bigint").alias("train_rows"))
+
+
+@query
+def leafwise_mae(spark, sf_dir):
+    error = model.mean_absolute_error(*_leafwise(spark, sf_dir))
+    return error.select("test_rows", (F.col("mae") <= MAE_BOUND).alias("within_bound"))
+
+
+@query
+def leafwise_stream(spark, sf_dir):
+    """A saved leaf-wise model inside a stream gives every alert the score it has in a batch.
+
+    Where training rows are many (no common port, no internal target) a score is close to the rule.
+    """
+    fitted, _ = _leafwise(spark, sf_dir)
+    model_path, path = scratch_path(spark, "leafwise"), scratch_path(spark, "stream-results")
+    fitted.save(spark, model_path)
+    loaded = boosting.LeafwiseModel.load(spark, model_path)
+    run = streams.start_results(
+        _alert_stream(spark, sf_dir, 3),
+        lambda batch: results.score_alerts(batch, None, loaded, as_of=AS_OF, keep=KEEP), path,
+        scratch_path(spark, "stream-state"), once=True,
+    )
+    run.awaitTermination()
+    streamed = spark.read.parquet(path).select("alert_id", F.col("severity").alias("streamed"))
+    scored = results.score_alerts(tables.alerts(spark, sf_dir), None, fitted, as_of=AS_OF, keep=KEEP)
+    rule = rule_score(*[F.col(f) for f in FEATURES])
+    common = (F.col("port_security") == 0) & (F.col("destination_ip_security") <= 3)
+    return scored.join(streamed, "alert_id").select(
+        "alert_id", F.col("streamed").eqNullSafe(F.col("severity")).alias("same"),
+        (~common | (F.abs(F.col("severity") - rule) <= LEAF_BOUND)).alias("within_bound"),
+    )
+
+
 @query
 def explanation_prompts(spark, sf_dir):
     scored = results.score_alerts(tables.alerts(spark, sf_dir), as_of=AS_OF, keep=KEEP)

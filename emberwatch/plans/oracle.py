@@ -55,6 +55,7 @@ alerts as (select event_id as alert_id, ts, level, concat('r', cast(level as var
   end as full_log from a)"""
 
 
+# The shape of an address in a text, and the shapes of a user name in their order.
 def ip_at(text: str, n: int) -> str:
     pattern = r"\b(\d{1,3}(?:\.\d{1,3}){3})\b"
     return f"list_extract(regexp_extract_all({text}, '{pattern}', 1), {n})"
@@ -468,6 +469,23 @@ SQL["model_cells"] = f"""with {MODEL_ROWS}
     count(*) as n from model_rows group by all"""
 SQL["model_scores"] = f"""with {SCORED} select alert_id, level, source_ip_security,
   destination_ip_security, port_security, true as within_bound, true as label_fits from scored"""
+SQL["leafwise_mae"] = SQL["model_mae"]
+SQL["leafwise_root"] = f"""with {MODEL_ROWS},
+  train as (select * from model_rows where not held_out),
+  whole as (select avg(severity) as mean, count(*) as n from train),
+  long as (unpivot (select severity, level, source_ip_security, destination_ip_security,
+    port_security from train) on level, source_ip_security, destination_ip_security, port_security
+    into name feature value x),
+  steps as (select feature, x, sum(severity - mean) as s, count(*) as c from long, whole
+    group by feature, x),
+  cuts as (select feature, (x + lead(x) over w) / 2.0 as threshold, sum(s) over w as s,
+    sum(c) over w as c from steps window w as (partition by feature order by x))
+  select feature, threshold, round(s * s / c + s * s / (n - c), 3) as gain, n as train_rows
+  from cuts, whole where threshold is not null and c >= 20 and n - c >= 20
+  order by s * s / c + s * s / (n - c) desc limit 1"""
+SQL["leafwise_stream"] = f"""with {NORMALIZED} select alert_id, true as same, true as within_bound
+  from normalized"""
+SQL["replay_selection_cut"] = SQL["replay_selection"]
 SQL["model_reuse"] = f"with {NORMALIZED} select alert_id, true as same from normalized"
 SQL["blocklist_flag_shuffled"] = SQL["blocklist_flag"]
 SQL["blocklist_cidr_shuffled"] = SQL["blocklist_cidr"]

@@ -14,18 +14,35 @@ from emberwatch.sources.alerts import newest_alerts, parse_envelopes, read_alert
 from emberwatch.sources.logs import read_log_csv
 
 AS_OF = "2026-06-01T00:00:00Z"
-ONE = {
-    "timestamp": "2031-08-14T07:22:05.417+0000",
-    "rule": {"level": 10, "id": "77104", "description": "many refused logins",
-             "groups": ["login_refused", "remote_shell"]},
-    "data": {"srcip": "192.168.44.7", "dstport": "22"},
-    "agent": {"name": "edge-3", "id": "310"},
-    "full_log": "door: refused entry for omar from 192.168.44.7 by shell",
+# One record per rule of the normaliser, each with only the fields that the rule looks at, and what
+# it becomes: address pair, port, then the port that scoring fills in.
+CASES = {
+    "given source beside two in the log": (
+        {"data": {"srcip": "203.9.9.1"}, "full_log": "drop 5.5.1.1 > 5.5.1.2 > 5.5.1.3"},
+        ("203.9.9.1", "5.5.1.2", None), 0),
+    "both out of the log": (
+        {"full_log": "accept 61.2.3.4:99 to 61.2.3.5", "agent": {"ip": "10.9.9.9"}},
+        ("61.2.3.4", "61.2.3.5", None), 0),
+    "agent stands in for the target": (
+        {"full_log": "logout at 61.2.3.4", "agent": {"ip": "10.9.9.9", "name": "vault"}},
+        ("61.2.3.4", "10.9.9.9", None), 0),
+    "port as a number": ({"data": {"dstport": 8443, "srcport": "1"}}, (None, None, 8443), 8443),
+    "port zero": ({"data": {"dstport": 0, "srcport": "515"}}, (None, None, None), 0),
+    "source port alone": ({"data": {"srcport": "40404"}}, (None, None, None), 40404),
+    "null objects": ({"data": None, "agent": None, "rule": None, "full_log": None},
+                     (None, None, None), 0),
 }
-TWO = {
-    "timestamp": "2031-08-14T06:50:00.250+0000",
-    "rule": {"level": 3, "description": "Policy scan finished.", "groups": ["policy"], "id": "40210"},
-    "data": {}, "agent": {"name": "collector", "id": "200"}, "full_log": "",
+NETWORK = {
+    "@timestamp": "2033-11-05T18:00:00.125+0000",
+    "rule": {"groups": ["flow", "denied", "edge"], "level": "14", "id": "fw-9",
+             "description": "flow denied at the edge"},
+    "data": {"srcport": "40404"},
+    "full_log": "deny tcp 61.2.3.4 -> 10.0.0.8 user wren: retry",
+}
+QUIET = {
+    "timestamp": "2033-11-05T17:59:00.000+0000", "full_log": "",
+    "rule": {"description": "nightly inventory done", "id": "inv-2", "level": 1, "groups": ["inventory"]},
+    "agent": {"ip": "10.0.0.77"},
 }
 
 
@@ -37,32 +54,41 @@ def alerts_of(spark, *hits):
     return parse_envelopes(spark.createDataFrame([(envelope(*hits),)], "value string"))
 
 
-def test_envelope_to_scored_results(spark):
-    alerts = alerts_of(spark, ONE, TWO)
+@pytest.mark.parametrize("case", CASES)
+def test_addresses_and_ports(spark, case):
+    record, want, port = CASES[case]
+    events = normalize_alerts(alerts_of(spark, record), AS_OF)
+    row = events.first()
+    assert (row.source_ip, row.destination_ip, row.port) == want
+    assert fill_defaults(events).first().port == port
+
+
+def test_answer_to_scored_results(spark):
+    alerts = alerts_of(spark, QUIET, NETWORK)
     assert alerts.count() == 2 and alerts.columns == ALERT.names
-    first, second = normalize_alerts(alerts, AS_OF).orderBy(F.desc("level")).collect()
-    assert (first.source_ip, first.destination_ip, first.port, first.user) == (
-        "192.168.44.7", None, 22, "omar")
-    assert (first.event_type, first.raw_log, first.level, first.rule_id, first.status) == (
-        "login_refused", ONE["full_log"], 10, "77104", "normalized")
-    assert (second.source_ip, second.port, second.user, second.event_type, second.raw_log) == (
-        None, None, None, "policy", "Policy scan finished.")
+    network, quiet = normalize_alerts(alerts, AS_OF).orderBy(F.desc("level")).collect()
+    # The first group names the event; without a log the rule's description stands in.
+    assert (network.event_type, network.user, network.level, network.rule_id) == (
+        "flow", "wren", 14, "fw-9")
+    assert (quiet.event_type, quiet.raw_log, quiet.user) == (
+        "inventory", "nightly inventory done", None)
+    assert {network.status, quiet.status} == {"normalized"}
     results = run_once(alerts, 10, as_of=AS_OF).collect()
-    assert [(r.severity, r.label, r.source_ip) for r in results] == [
-        (51, "malicious", "192.168.44.7"), (18, "benign", "0.0.0.0")]
-    assert results[1].event.destination_ip == "0.0.0.0" and results[1].event.port == 0
+    # 14/15 of 60, a public source and an internal server; 1/15 of 60 and an internal server.
+    assert [(r.severity, r.label) for r in results] == [(78, "critical"), (20, "benign")]
+    assert results[1].event.source_ip == "0.0.0.0" and results[1].event.destination_ip == "10.0.0.77"
 
 
 def test_empty_answers_and_files(spark, folder):
     assert alerts_of(spark).count() == 0
     assert parse_envelopes(spark.createDataFrame([("{}",)], "value string")).count() == 0
     path = folder("envelopes")
-    spark.createDataFrame([(envelope(ONE, TWO),), (envelope(),)], "value string").write.text(path)
+    spark.createDataFrame([(envelope(NETWORK, QUIET),), (envelope(),)], "value string").write.text(path)
     assert read_envelopes(spark, path).count() == 2
     path = folder("alerts")
-    spark.createDataFrame([(json.dumps(a),) for a in (ONE, TWO)], "value string").write.text(path)
+    spark.createDataFrame([(json.dumps(a),) for a in (QUIET, NETWORK)], "value string").write.text(path)
     newest = newest_alerts(read_alerts(spark, path), 1).first()
-    assert newest.rule.id == "77104"
+    assert newest.rule.id == "fw-9"
 
 
 def test_broken_alerts_fall_back(spark):
@@ -135,7 +161,7 @@ def test_field_rows(spark):
 
 
 def test_hit_ids_and_unreadable_answers(spark):
-    hits = [{"_id": "h1", "_source": ONE}, {"_id": "h2", "_source": dict(TWO, id="own")}]
+    hits = [{"_id": "h1", "_source": QUIET}, {"_id": "h2", "_source": dict(NETWORK, id="own")}]
     answers = [(json.dumps({"hits": {"hits": hits}}),), ('{"hits": {}}',), (None,)]
     rows = parse_envelopes(spark.createDataFrame(answers, "value string")).collect()
     assert [r.id for r in rows] == ["h1", "own"]
