@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.text import shown
+from emberwatch.streaming.segments import Segments
 
 Explainer = Callable[[pd.Series], pd.Series]
 
@@ -57,3 +59,49 @@ def explain(events: DataFrame, explainer: Explainer | None = None) -> DataFrame:
 
         text = F.pandas_udf(ask, "string")(prompt("raw_log"))
     return events.withColumn("explanation", text).withColumn("status", F.lit("explained"))
+
+
+ANSWERS = "digest string, answer string, _day string"
+TRIES = 3
+
+
+def with_retries(explainer: Explainer, tries: int = TRIES) -> Explainer:
+    """The callable, called again on a failure; the last failure fails the task."""
+    def ask(prompts: pd.Series) -> pd.Series:
+        for left in reversed(range(tries)):
+            try:
+                return explainer(prompts)
+            except Exception:
+                if not left:
+                    raise
+
+    return ask
+
+
+def explain_once(
+    events: DataFrame, explainer: Explainer, path: str, tries: int = TRIES
+) -> DataFrame:
+    """Like ``explain``, but a prompt is asked once, in this batch and in all later ones.
+
+    Answers are kept below ``path``, by the prompt's digest. Only prompts without one reach the callable,
+    each once however many events have it, and a failing call is made ``tries`` times. A task that
+    Spark runs again asks again.
+    """
+    asked = events.withColumn("_prompt", prompt("raw_log")).withColumn("_digest", F.sha2("_prompt", 256))
+    store = Segments(events.sparkSession, path, ANSWERS)
+    # The day of an answer is its digest's first digit, which spreads the answers over 16 folders.
+    known = store.read().select(F.col("digest").alias("_digest"))
+    distinct = asked.select("_digest", "_prompt").dropDuplicates(["_digest"])
+    new = distinct.join(known, "_digest", "left_anti")
+    call = with_retries(explainer, tries)
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"digest": batch["_digest"], "answer": call(batch["_prompt"]),
+                                    "_day": batch["_digest"].str[:1]})
+
+    store.add(new.mapInPandas(answer, ANSWERS), uuid.uuid4().hex, 0)
+    answers = store.read().select(F.col("digest").alias("_digest"), F.col("answer").alias("explanation"))
+    return asked.drop("_prompt").join(answers, "_digest", "left").drop("_digest").withColumn(
+        "status", F.lit("explained"))

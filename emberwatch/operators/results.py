@@ -79,3 +79,14 @@ def report_lines(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One padded table line per scored event."""
     cells = [pad_right(shown(F.col(name)), width) for name, width in REPORT_COLUMNS]
     return events.select(*keep, F.concat(F.lit("  "), F.concat_ws(" ", *cells)).alias("line"))
+
+
+def report_table(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The report with its header: line 0 names the columns, line 1 rules them off, all others are 2."""
+    head = "  " + " ".join(name.ljust(width) for name, width in REPORT_COLUMNS)
+    rule = "  " + " ".join("-" * (width or len(name)) for name, width in REPORT_COLUMNS)
+    nothing = [F.lit(None).cast(events.schema[name].dataType).alias(name) for name in keep]
+    top = events.sparkSession.range(0, 2, 1, 1).select(
+        *nothing, F.col("id").cast("int").alias("place"),
+        F.when(F.col("id") == 0, head).otherwise(rule).alias("line"))
+    return top.unionByName(report_lines(events, keep).withColumn("place", F.lit(2)))

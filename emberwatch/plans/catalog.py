@@ -22,7 +22,7 @@ from emberwatch.plans import tables
 from emberwatch.schemas import ALERT, EVENT
 from emberwatch.session import apply_settings, scratch_path
 from emberwatch.sources import alerts as alert_source
-from emberwatch.sources import polling
+from emberwatch.sources import polling, recent
 from emberwatch.sources.blocklist import clean_blocklist
 from emberwatch.sources.logs import read_log_csv
 from emberwatch.sources.synthetic import synthesize
@@ -283,6 +283,16 @@ def recent_alerts_topn(spark, sf_dir):
     return tables.flat_alerts(newest)
 
 
+@query
+def recent_alerts_pruned(spark, sf_dir):
+    """The same newest ten out of a folder of files by day, with an index of their time ranges."""
+    path, index = scratch_path(spark, "alert-days"), scratch_path(spark, "alert-index")
+    rows = tables.table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    rows.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(path)
+    newest = recent.newest_from_files(spark, path, index, 10, "at", "event_id")
+    return tables.flat_alerts(newest.drop("at", "day"))
+
+
 _POLL = "cast(date_format(ts, 'yyyyMMddHH') as bigint)"
 _BUFFER_ORDER = [("batch_id", True), ("ts", False), ("alert_id", False)]
 
@@ -369,6 +379,12 @@ def score_report(spark, sf_dir):
     return results.report_lines(_scored(spark, sf_dir), KEEP)
 
 
+@query
+def score_report_table(spark, sf_dir):
+    """The report with header, rule and rows."""
+    return results.report_table(_scored(spark, sf_dir), KEEP)
+
+
 # Replay
 
 
@@ -438,6 +454,20 @@ def csv_fields_to_json(spark, sf_dir):
     return back.withColumn("seq", F.col("seq").cast("bigint"))
 
 
+@query
+def logs_to_json_array(spark, sf_dir):
+    """Normalised logs as one JSON array over part files, read back as one document each line."""
+    target = scratch_path(spark, "logs-array")
+    events = normalize_logs(tables.raw_logs(spark, sf_dir), as_of=AS_OF,
+                            row_columns=["log", "category"], keep=("seq",))
+    sinks.write_json_array(events.select("seq", "timestamp", "event_type", "source_ip", "user"), target)
+    # Every element stands in a line of its own, behind a comma unless it is the first.
+    lines = spark.read.text(target).filter(~F.col("value").isin("[", "]"))
+    element = F.from_json(F.regexp_replace("value", "^,", ""), "seq bigint, timestamp string, "
+                          "event_type string, source_ip string, user string", {"mode": "FAILFAST"})
+    return lines.select(element.alias("x")).select("x.*")
+
+
 @query
 def json_alert_scan(spark, sf_dir):
     """Alerts written as JSON lines, scanned with the alert schema and normalised."""
@@ -599,10 +629,23 @@ def explanation_prompts(spark, sf_dir):
 def explained_by_callable(spark, sf_dir):
     """Explanations by a callable in place of a text model: the prompt's length."""
     scored = results.score_alerts(tables.alerts(spark, sf_dir), as_of=AS_OF, keep=KEEP)
-    told = explain.explain(scored, lambda prompts: "a prompt of " + prompts.str.len().astype(str))
+    told = explain.explain(scored, _told)
     return told.select("alert_id", "explanation", "status")
 
 
+@query
+def explained_once(spark, sf_dir):
+    """Two batches of the same events; the second one's prompts have answers already."""
+    path = scratch_path(spark, "answers")
+    scored = results.score_alerts(tables.alerts(spark, sf_dir), as_of=AS_OF, keep=KEEP)
+    explain.explain_once(scored.filter("alert_id % 2 = 0"), _told, path)
+    return explain.explain_once(scored, _told, path).select("alert_id", "explanation", "status")
+
+
+def _told(prompts):
+    return "a prompt of " + prompts.str.len().astype(str)
+
+
 # Streams, each run to the end of the available files
 
 

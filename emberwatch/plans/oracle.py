@@ -485,6 +485,14 @@ SQL["leafwise_root"] = f"""with {MODEL_ROWS},
   order by s * s / c + s * s / (n - c) desc limit 1"""
 SQL["leafwise_stream"] = f"""with {NORMALIZED} select alert_id, true as same, true as within_bound
   from normalized"""
+SQL["explained_once"] = SQL["explained_by_callable"]
+SQL["recent_alerts_pruned"] = SQL["recent_alerts_topn"]
+SQL["logs_to_json_array"] = f"""with {RAW_LOGS}, filled as (select seq, coalesce(log, '') as log,
+    category from raw_logs), found as ({normalized_rows("filled", "seq")})
+  select seq, "timestamp", event_type, source_ip, "user" from found"""
+SQL["score_report_table"] = f"""select alert_id, 2::int as place, line from ({_report()})
+  union all select null, 0, '  level    source_ip          destination_ip     port     severity label        status'
+  union all select null, 1, '  -------- ------------------ ------------------ -------- -------- ------------ ------'"""
 SQL["replay_selection_cut"] = SQL["replay_selection"]
 SQL["model_reuse"] = f"with {NORMALIZED} select alert_id, true as same from normalized"
 SQL["blocklist_flag_shuffled"] = SQL["blocklist_flag"]

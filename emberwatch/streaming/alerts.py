@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -218,6 +219,22 @@ def progress(query: StreamingQuery) -> list[tuple[int, int, float]]:
     ]
 
 
+def repeat(
+    start: Callable[[], StreamingQuery], delay: float, halt: threading.Event, rounds: int | None = None
+) -> int:
+    """A fixed delay: run a once-query to its end, then wait ``delay`` seconds, until ``halt`` is set.
+
+    The interval of ``every`` counts from the start of a batch; here the wait counts from the end.
+    Returns the finished runs, ``rounds`` at most.
+    """
+    done = 0
+    while not halt.is_set() and (rounds is None or done < rounds):
+        start().awaitTermination()
+        done += 1
+        halt.wait(delay)
+    return done
+
+
 def stop(query: StreamingQuery, timeout_seconds: int = 10) -> None:
     """Stop and wait for the current batch to end."""
     query.stop()

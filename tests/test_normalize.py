@@ -8,7 +8,7 @@ from emberwatch.operators.normalize import (
     field_value, fill_defaults, normalize_alerts, normalize_fields, normalize_logs, row_json,
 )
 from emberwatch.operators.results import run_once
-from emberwatch.operators.sinks import write_json, write_results
+from emberwatch.operators.sinks import write_json, write_json_array, write_results
 from emberwatch.schemas import ALERT, FIELD_LOG, RAW_LOG
 from emberwatch.sources.alerts import newest_alerts, parse_envelopes, read_alerts, read_envelopes
 from emberwatch.sources.logs import read_log_csv
@@ -176,3 +176,15 @@ def test_row_access(spark):
                     row_json(df).alias("j")).first()
     assert (row.b, row.z, json.loads(row.j)) == ("x", None, {"a": 1, "b": "x"})
     assert df.select(pad_left(F.lit("1234"), 3)).first()[0] == "1234"
+
+
+def test_json_array_over_part_files(spark, folder):
+    """The parts joined by name are one document, whatever parts are empty."""
+    for rows in (0, 1, 500):
+        path = folder("array")
+        data = spark.range(rows).selectExpr("id", "concat('say \"', id, '\"\n') as text").repartition(7)
+        assert write_json_array(data, path) == rows
+        parts = spark.sparkContext.wholeTextFiles(f"{path}/part-*").sortByKey().values().collect()
+        read = json.loads("".join(parts))
+        assert sorted(r["id"] for r in read) == list(range(rows))
+        assert all(r["text"] == f'say "{r["id"]}"\n' for r in read)

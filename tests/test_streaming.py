@@ -1,3 +1,5 @@
+import threading
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -193,6 +195,27 @@ def test_rolling_windows_take_late_alerts(spark, folder):
     assert read() == [(3, 1, 2), (3, 2, 1), (0, 0, 0)]
 
 
+def test_fixed_delay_waits_after_each_run(spark, folder):
+    """A run starts no sooner than the delay after the one before has ended; a halt ends the rounds."""
+    source, out, state, halt = folder("source"), folder("out"), folder("state"), threading.Event()
+    spans = []
+
+    def start():
+        spark.range(len(spans), len(spans) + 1).write.mode("append").parquet(source)
+        began = time.monotonic()
+        run = streams.start_results(stream_alerts(spark, source, None, spark.range(1).schema, "parquet"),
+                                    lambda b: b, out, state, once=True)
+        run.awaitTermination()
+        spans.append((began, time.monotonic()))
+        if len(spans) == 2:
+            halt.set()
+        return run
+
+    assert streams.repeat(start, 1.5, halt) == 2
+    assert spans[1][0] - spans[0][1] >= 1.5 and spark.read.parquet(out).count() == 2
+    assert streams.repeat(start, 0, halt) == 0
+
+
 def test_interval_trigger_and_stop(spark, folder):
     source, out = folder("source"), folder("out")
     line = '{"id": "1", "timestamp": "2031-07-09T05:06:07.250+0000", "full_log": "x 8.8.8.8"}'
