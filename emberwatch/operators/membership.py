@@ -24,10 +24,14 @@ SHORT_PREFIX = r"\A(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2}))?\.\*\z"
 
 @dataclass(frozen=True)
 class Lookup:
-    """Distinct texts in column ``entry``, with the verdict of a size check taken once."""
+    """Distinct texts in column ``entry``, with the verdict of a size check taken once.
+
+    ``max_rows``, if given, also bounds the listed addresses of the events that are broadcast.
+    """
 
     entries: DataFrame
     small: bool
+    max_rows: int | None = None
 
 
 def checked(
@@ -38,12 +42,12 @@ def checked(
     Every later use, each micro-batch of a stream too, reads the copy that was counted.
     """
     entries = _stored(entries, "list")
-    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    bound, max_rows = max_rows, BROADCAST_ROWS if max_rows is None else max_rows
     max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
     size = entries.agg(
         F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("entry")), F.lit(0)).alias("b")
     ).first()
-    return Lookup(entries, size.n <= max_rows and size.b <= max_bytes)
+    return Lookup(entries, size.n <= max_rows and size.b <= max_bytes, bound)
 
 
 def _stored(rows: DataFrame, name: str) -> DataFrame:
@@ -81,7 +85,7 @@ def _flag_by_verdicts(events: DataFrame, lookup: Lookup, ip: str, flag: str) ->
     seen = checkpointed(
         counts.join(listed, "entry", "left").fillna(False, ["verdict"])
     )
-    hits = checked(seen.filter("verdict").select("entry"))
+    hits = checked(seen.filter("verdict").select("entry"), lookup.max_rows)
     if hits.small:
         return flag_listed(events, hits, ip, flag)
     total = seen.agg(F.sum("n")).first()[0]

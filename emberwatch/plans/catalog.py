@@ -236,6 +236,13 @@ def blocklist_flag_shuffled(spark, sf_dir):
     return membership.flag_listed(_sources(spark, sf_dir), lookup)
 
 
+@query
+def blocklist_flag_hot(spark, sf_dir):
+    """The same flag where even the listed addresses of the events are too many to broadcast."""
+    lookup = membership.checked(_blocklist(spark, sf_dir), max_rows=0)
+    return membership.flag_listed(_sources(spark, sf_dir), lookup)
+
+
 @query
 def blocklist_semi(spark, sf_dir):
     lookup = membership.checked(_blocklist(spark, sf_dir))

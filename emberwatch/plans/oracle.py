@@ -496,6 +496,7 @@ SQL["score_report_table"] = f"""select alert_id, 2::int as place, line from ({_r
 SQL["replay_selection_cut"] = SQL["replay_selection"]
 SQL["model_reuse"] = f"with {NORMALIZED} select alert_id, true as same from normalized"
 SQL["blocklist_flag_shuffled"] = SQL["blocklist_flag"]
+SQL["blocklist_flag_hot"] = SQL["blocklist_flag"]
 SQL["blocklist_cidr_shuffled"] = SQL["blocklist_cidr"]
 SQL["blocklist_semi_shuffled"] = SQL["blocklist_semi"]
 SQL["blocklist_anti_shuffled"] = SQL["blocklist_anti"]

@@ -1,3 +1,5 @@
+from datetime import datetime, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,18 @@ def test_instants(spark):
     seen = [r[0] for r in df.select(
         F.unix_millis(parse_instant(F.col("t")))).collect()]
     assert seen == [1941339967250, 1941339967250, None]
+
+
+def test_without_a_given_moment_the_query_start_stands_in(spark):
+    """In UTC whatever the session zone; a time without a year takes the current one."""
+    before = datetime.now(timezone.utc)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        rows = spark.createDataFrame([("nothing here",), ("Oct  7 21:05:19 h",)], "log string")
+        none, yearless = [r[0] for r in rows.select(parse_timestamp(F.col("log"), clock())).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    after = datetime.now(timezone.utc)
+    assert before <= datetime.fromisoformat(none) <= after and none.endswith("+00:00")
+    assert yearless in {f"{t.year}-10-07T21:05:19+00:00" for t in (before, after)}
