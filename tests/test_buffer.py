@@ -28,7 +28,7 @@ def test_append_keeps_duplicates(spark):
     assert append_events(batch, batch).count() == 6
 
 
-def test_versions_of_the_written_buffer(spark, folder):
+def test_epochs_of_the_written_buffer(spark, folder):
     path = folder("buffer")
     order = [("ts", False)]
     kept = deque(maxlen=50)
@@ -37,9 +37,10 @@ def test_versions_of_the_written_buffer(spark, folder):
     streams.create_buffer(batches[0], path)
     assert streams.read_buffer(spark, path, order, 0, 50).count() == 0
     for number, batch in enumerate(batches):
-        streams.update_buffer(batch, number, path, order, 50)
-        kept.extend((number, t) for t in reversed(range(batch.count())))
-    # A batch that runs again replaces its version.
-    streams.update_buffer(batches[3], 3, path, order, 50)
+        streams.update_buffer(batch, "run", number, path, order, 50)
+        # The empty buffer is epoch 0.
+        kept.extend((number + 1, t) for t in reversed(range(batch.count())))
+    # A batch that runs again finds itself committed.
+    streams.update_buffer(batches[3], "run", 3, path, order, 50)
     rows = streams.read_buffer(spark, path, order, 0, 50).collect()
-    assert [(r.batch_id, r.ts) for r in rows] == list(kept)
+    assert [(r.epoch, r.ts) for r in rows] == list(kept)
