@@ -129,6 +129,33 @@ def _colon_key(ip: Column) -> Column:
     return F.concat(F.overlay(left, right, 33 - F.char_length(right)), F.lit("/"), tail)
 
 
+def _dotted_digits(ip: Column) -> Column:
+    octets = F.split(ip, r"\.")
+    number = sum(
+        F.get(octets, F.lit(i)).try_cast("bigint") * (1 << (8 * (3 - i))) for i in range(4)
+    )
+    return F.lpad(F.lower(F.hex(number)), 8, "0")
+
+
+def address_key(ip: Column) -> Column:
+    """A valid address as text that sorts like its number: 4 and 8 hex digits, or 6 and 32.
+
+    Any other text has none. The zone of an address does not count.
+    """
+    def whole(key: Column) -> Column:
+        digits, tail = F.substring_index(key, "/", 1), F.substring_index(key, "/", -1)
+        return F.when(tail == "", digits).otherwise(
+            F.concat(F.substring(digits, 1, 24), _dotted_digits(tail))
+        )
+
+    # A lambda's argument is evaluated once, however often it is named.
+    digits = F.get(F.transform(F.array(_colon_key(ip)), whole), F.lit(0))
+    colon = F.when(F.lower(ip).rlike(_COLON_SHAPE), F.concat(F.lit("6"), digits))
+    return F.when(is_ipv4(ip), F.concat(F.lit("4"), _dotted_digits(ip))).when(
+        ip.contains(":"), colon
+    )
+
+
 def is_private(ip: Column) -> Column:
     """True for special-use addresses; text that is no address is not private."""
     colon = F.lower(ip).rlike(_COLON_SHAPE) & _colon_key(ip).rlike(_PRIVATE_KEY)

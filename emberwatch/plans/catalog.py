@@ -12,7 +12,7 @@ from emberwatch.functions import ipaddr
 from emberwatch.functions.extract import addresses, clock, nth_address, parse_timestamp, parse_user
 from emberwatch.functions.scoring import label_of, rule_score
 from emberwatch.operators import (
-    boosting, buffer, dashboard, explain, membership, model, replay, results, sinks,
+    boosting, buffer, dashboard, explain, membership, model, networks, replay, results, sinks,
 )
 from emberwatch.operators.normalize import (
     fill_defaults, normalize_alerts, normalize_fields, normalize_logs, row_json,
@@ -280,6 +280,26 @@ def blocklist_cidr_shuffled(spark, sf_dir):
     return membership.flag_in_ranges(_sources(spark, sf_dir), ranges)
 
 
+@query
+def blocklist_networks(spark, sf_dir):
+    """Addresses of both families in a list of overlapping networks."""
+    listed = networks.checked_networks(tables.networks(spark, sf_dir))
+    return networks.flag_in_networks(tables.mixed_addresses(spark, sf_dir), listed, "ip")
+
+
+@query
+def blocklist_networks_swept(spark, sf_dir):
+    """The same flag by the way taken when the intervals are too many to broadcast."""
+    listed = networks.checked_networks(tables.networks(spark, sf_dir), max_rows=0)
+    return networks.flag_in_networks(tables.mixed_addresses(spark, sf_dir), listed, "ip")
+
+
+@query
+def blocklist_intervals(spark, sf_dir):
+    """The networks of the list as disjoint intervals."""
+    return networks.disjoint(networks.intervals(tables.networks(spark, sf_dir)))
+
+
 # Newest alerts, buffer and dashboard
 
 

@@ -498,6 +498,47 @@ SQL["model_reuse"] = f"with {NORMALIZED} select alert_id, true as same from norm
 SQL["blocklist_flag_shuffled"] = SQL["blocklist_flag"]
 SQL["blocklist_flag_hot"] = SQL["blocklist_flag"]
 SQL["blocklist_cidr_shuffled"] = SQL["blocklist_cidr"]
+
+# Addresses as numbers, without their text: 45.33 and 16 bits, or the third group and the last.
+_ADDRESSES = """addresses as (select event_id, user_id * 13 % 4096 as third,
+    event_id % 65536 as last, user_id * 13 % 256 * 256 + event_id % 256 as dotted,
+    case when event_id % 5 = 0 then 4 when event_id % 5 < 4 then 6 end as family from events),
+  wide as (select c_custkey * 7 % 4096 as third, 6 - c_custkey % 7 as spare from customer
+    where c_custkey % 11 = 0),
+  narrow as (select s_suppkey * 13 % 4096 as third, s_suppkey * 37 % 65536 as last,
+    15 - s_suppkey % 16 as spare from supplier),
+  dotted as (select s_suppkey * 29 % 256 * 256 + s_suppkey * 5 % 256 as number,
+    case when s_suppkey % 2 = 0 then 0 else 11 - s_suppkey % 12 end as spare
+    from supplier where s_suppkey % 3 = 0)"""
+SQL["blocklist_networks"] = f"""with {_ADDRESSES} select event_id, case event_id % 5
+    when 0 then concat_ws('.', 45, 33, user_id * 13 % 256, event_id % 256)
+    when 1 then printf('2001:db8:%x::%x', user_id * 13 % 4096, event_id % 65536)
+    when 2 then printf('2001:0DB8:%X:0:0:0:0:%X', user_id * 13 % 4096, event_id % 65536)
+    when 3 then printf('2001:db8:%x::0.0.%d.%d', user_id * 13 % 4096,
+      event_id % 65536 // 256, event_id % 256)
+    else case when event_id % 2 = 1 then 'host' end end as ip,
+  coalesce(family = 6 and exists (select 1 from wide w
+      where w.third >> w.spare = a.third >> w.spare), false)
+  or coalesce(family = 6 and exists (select 1 from narrow n where n.third = a.third
+      and n.last >> n.spare = a.last >> n.spare), false)
+  or coalesce(family = 4 and exists (select 1 from dotted d
+      where d.number >> d.spare = a.dotted >> d.spare), false) as listed
+  from addresses a join events using (event_id)"""
+SQL["blocklist_networks_swept"] = SQL["blocklist_networks"]
+SQL["blocklist_intervals"] = f"""with {_ADDRESSES}, spans as (
+    select printf('620010db8%04x%s', third >> spare << spare, repeat('0', 20)) as low,
+      printf('620010db8%04x%s', (third >> spare << spare) + (1 << spare) - 1, repeat('f', 20))
+      as high from wide union
+    select printf('620010db8%04x%s%04x', third, repeat('0', 16), last >> spare << spare),
+      printf('620010db8%04x%s%04x', third, repeat('0', 16),
+        (last >> spare << spare) + (1 << spare) - 1) from narrow union
+    select printf('42d21%04x', number >> spare << spare),
+      printf('42d21%04x', (number >> spare << spare) + (1 << spare) - 1) from dotted),
+  reached as (select *, max(high) over (order by low, high rows between unbounded preceding
+    and 1 preceding) as reach from spans),
+  numbered as (select *, sum(case when reach >= low then 0 else 1 end) over
+    (order by low, high rows unbounded preceding) as island from reached)
+  select min(low) as low, max(high) as high from numbered group by island"""
 SQL["blocklist_semi_shuffled"] = SQL["blocklist_semi"]
 SQL["blocklist_anti_shuffled"] = SQL["blocklist_anti"]
 SQL["stream_kpi_rolling"] = f"""with {UNLISTED},

@@ -219,3 +219,36 @@ def colon_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id", f"case event_id % {len(COLON_FORMS)} {forms} end as ip"
     )
+
+
+def mixed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An address per event: dotted, or colon text in one of three spellings."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        """case event_id % 5
+             when 0 then concat_ws('.', '45', '33', user_id * 13 % 256, event_id % 256)
+             when 1 then concat('2001:db8:', lower(hex(user_id * 13 % 4096)), '::',
+               lower(hex(event_id % 65536)))
+             when 2 then concat('2001:0DB8:', hex(user_id * 13 % 4096), ':0:0:0:0:',
+               hex(event_id % 65536))
+             when 3 then concat('2001:db8:', lower(hex(user_id * 13 % 4096)), '::0.0.',
+               cast(event_id % 65536 div 256 as string), '.', cast(event_id % 256 as string))
+             when 4 then if(event_id % 2 = 0, null, 'host') end as ip""",
+    )
+
+
+def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping networks of both families, from the customers and suppliers."""
+    wide = table(spark, sf_dir, "customer").filter("c_custkey % 11 = 0").selectExpr(
+        "concat('2001:db8:', lower(hex(c_custkey * 7 % 4096)), '::/', "
+        "cast(42 + c_custkey % 7 as string)) as entry"
+    )
+    suppliers = table(spark, sf_dir, "supplier")
+    narrow = suppliers.selectExpr(
+        "concat('2001:db8:', hex(s_suppkey * 13 % 4096), '::', hex(s_suppkey * 37 % 65536), '/', "
+        "cast(113 + s_suppkey % 16 as string)) as entry"
+    )
+    dotted = suppliers.filter("s_suppkey % 3 = 0").selectExpr(
+        "concat_ws('.', '45', '33', s_suppkey * 29 % 256, s_suppkey * 5 % 256) as host", "s_suppkey"
+    ).selectExpr("if(s_suppkey % 2 = 0, host, concat(host, '/', 21 + s_suppkey % 12)) as entry")
+    return wide.unionByName(narrow).unionByName(dotted).distinct()
