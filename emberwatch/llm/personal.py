@@ -10,27 +10,27 @@ runs into another number), and what the generators propose there is personal. Al
 base spans are unlabelled, never negatives: the trees tell made positives from unlabelled ones, of
 equal weight in each kind. The mean score c of a form's positives held out gives the share (1 - c) / c of
 unlabelled ones that are like them, and with it a score's chance of being personal; a candidate is
-added at CHANCE or more by one of its kind's forms. The sample is at most TRAIN_ROWS candidates, an equal share of each kind, and
-MADE_ROWS spans of each base kind, drawn by hash. Number runs longer than PIECE characters are
-candidates in overlapping pieces. All work is done by DataFrame expressions and Spark's own tree library.
+added at CHANCE or more by one of its kind's forms. Every validated span is rewritten, and the trees that
+score candidates learn from every row, as counts between the CUTS of each feature. For c, texts fall in
+two halves, and all positives of each are scored by trees of the other. Number runs longer than PIECE
+characters are candidates in overlapping pieces. All work is done by DataFrame expressions and Spark's
+own tree library.
 
 Null text is empty and has no span. Repeated rows are searched each by itself. An empty table gives no
 rows. Other columns are not read. A kind with fewer than MIN_CLASS made positives or unlabelled
-candidates in either half of the sample has none added.
+candidates in either half has none added.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Binarizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.llm.common import masked, span_text, spans, stored
 
-TRAIN_ROWS = 20_000
-MADE_ROWS = 3_000
 MIN_CLASS = 10
 CHANCE = 0.5
 TREES, DEPTH = 12, 3
@@ -108,6 +108,15 @@ def _keep(kind: str):
 FORMAT = ("chars", "digits", "separators", "groups", "distinct", "longest", "plus", "paren", "at",
           "dots", "luhn_ok", "first")
 CONTEXT = (*HINTS, "after_letter", "before_letter", "symbol_near")
+# Where trees may split a feature: at these values and above. They are given, and each is a feature of
+# two values, since Spark would choose splits of other features by a sample of the rows.
+CUTS = {
+    "chars": (*range(6, 25), 28, 32, 40, 48, 64), "digits": (*range(1, 21), 24, 28, 32, 48),
+    "separators": (*range(1, 9), 12, 16), "groups": (*range(1, 9), 12),
+    "distinct": (*range(1, 11),), "longest": (*range(1, 20), 24, 32), "dots": (*range(1, 7),),
+    "first": (*range(10),),
+    **dict.fromkeys(("plus", "paren", "at", "luhn_ok", *CONTEXT), (1,)),
+}
 
 
 def _features(x: Column, text: Column) -> list[Column]:
@@ -154,8 +163,8 @@ def _pieces(x: Column) -> Column:
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_row``, ``_key``, ``base`` spans, ``shown`` (these with the text around them) and ``loose``
-    candidates with features and ``near_base``."""
+    """``_row``, ``_key``, ``_half`` (the same for equal texts), ``base`` spans, ``shown`` (these with
+    the text around them) and ``loose`` candidates with features and ``near_base``."""
     step = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     guard = {
         "email": F.contains("_text", F.lit("@")), "phone": F.contains("_text", F.lit("+")),
@@ -196,7 +205,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.substr(text, x["end"] + 1, F.lit(AROUND)).alias("after"),
     ))
     return step.select(
-        F.monotonically_increasing_id().alias("_row"), "_key", bare.alias("base"),
+        F.monotonically_increasing_id().alias("_row"), "_key",
+        F.pmod(F.xxhash64("_text"), F.lit(2)).cast("int").alias("_half"), bare.alias("base"),
         shown.alias("shown"), loose.alias("loose"),
     )
 
@@ -220,30 +230,28 @@ FORMS = {
 
 def made_positives(rows: DataFrame) -> DataFrame:
     """Candidates, with features, that rewritten validated spans give; of stored ``candidates`` rows."""
-    shown = rows.select("_row", F.inline("shown"))
-    counts = {r["kind"]: r["count"] for r in shown.groupBy("kind").count().collect()}
-    part = F.lit(0.0)
-    for kind, n in counts.items():
-        part = F.when(F.col("kind") == kind, MADE_ROWS / n).otherwise(part)
-    place = F.pmod(F.xxhash64("_row", "before", "found"), F.lit(1 << 30)) / float(1 << 30)
     forms = F.lit(None).cast("array<string>")
     for kind, write in FORMS.items():
         forms = F.when(F.col("kind") == kind, F.array(*write(F.col("found")))).otherwise(forms)
-    written = shown.filter(place < part).select(
-        "_row", "kind", "before", "after", F.posexplode(forms).alias("nth", "form"))
+    written = rows.select("_row", "_half", F.inline("shown")).select(
+        "_row", "_half", "kind", "before", "after", F.posexplode(forms).alias("nth", "form"))
     low = F.length("before")
     name = F.concat_ws(" ", "kind", "nth").alias("form")
     texts = written.select(
-        F.struct("_row", low.alias("low"), (low + F.length("form")).alias("high"), name).alias("at"),
+        F.struct("_row", "_half", low.alias("low"), (low + F.length("form")).alias("high"),
+                 name).alias("at"),
         F.concat("before", "form", "after").alias("text"))
     found = candidates(texts, "at").select("_key", F.inline("loose"))
     inside = (F.col("start") < F.col("_key.high")) & (F.col("_key.low") < F.col("end"))
-    return found.filter(inside & ~F.col("near_base")).withColumn("_row", F.col("_key._row")).withColumn(
-        "form", F.col("_key.form")).drop("_key")
+    return found.filter(inside & ~F.col("near_base")).select(
+        "*", "_key._row", "_key._half", "_key.form").drop("_key")
 
 
 def shares(counts: dict, rows: int) -> dict:
-    """How much of each cell is drawn: equal numbers, and what a small cell leaves to the others."""
+    """How much of each cell is drawn: equal numbers, and what a small cell leaves to the others.
+
+    For callers who draw rows themselves; ``find`` draws none.
+    """
     drawn, left = {}, rows
     for i, (cell, n) in enumerate(sorted(counts.items(), key=lambda x: x[1])):
         take = min(n, left / (len(counts) - i))
@@ -252,61 +260,77 @@ def shares(counts: dict, rows: int) -> dict:
     return drawn
 
 
+def cells(loose: DataFrame, made: DataFrame) -> DataFrame:
+    """``n``, the number of rows of a kind, form, label and half that lie between the same cuts."""
+    unlabelled = loose.withColumn("label", F.lit(0.0)).withColumn("form", F.lit(""))
+
+    def cut(name: str) -> Column:
+        passed = F.filter(F.array(*[F.lit(float(c)) for c in CUTS[name]]), lambda c: c <= F.col(name))
+        return F.coalesce(F.array_max(passed), F.lit(-1.0)).alias(name)
+
+    return unlabelled.unionByName(made.withColumn("label", F.lit(1.0))).groupBy(
+        "kind", "form", "label", "_half", *map(cut, CUTS)).agg(F.count("*").alias("n"))
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_features``: whether it is of a kind, and whether a feature reaches a cut."""
+    kinds = [(f"of_{kind}", kind) for kind in LOOSE]
+    rows = rows.withColumns({name: (F.col("kind") == kind).cast("double") for name, kind in kinds})
+    steps = [(name, 1) for name, _ in kinds] + [(name, c) for name, at in CUTS.items() for c in at]
+    names = [f"{name}_from_{c}" for name, c in steps]
+    told = Binarizer(inputCols=[name for name, _ in steps], outputCols=names,
+                     thresholds=[c - 0.5 for _, c in steps]).transform(rows)
+    return VectorAssembler(inputCols=names, outputCol="_features").transform(told).drop(*names)
+
+
 def select(loose: DataFrame, made: DataFrame) -> DataFrame:
-    """Accepted candidates of rows (_row, kind, rank, start, end, near_base, features).
+    """Accepted candidates of rows (_row, _half, kind, rank, start, end, near_base, features).
 
     ``made`` holds positives of the same columns and their ``form``.
     """
-    kinds = sorted(LOOSE)
-    place = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
-    each = loose.filter(~F.col("near_base")).withColumn("_kind", place.cast("double"))
-    counts = {r["kind"]: r["count"] for r in each.groupBy("kind").count().collect()}
-    share = F.lit(0.0)
-    for kind, part in shares(counts, TRAIN_ROWS).items():
-        share = F.when(F.col("kind") == kind, part).otherwise(share)
-    drawn = F.pmod(F.xxhash64("_row", "start", "kind"), F.lit(1 << 40))
-    unlabelled = each.filter(drawn < share * F.lit(float(1 << 40))).withColumn(
-        "label", F.lit(0.0)).withColumn("form", F.lit(""))
-    positive = made.withColumn("_kind", place.cast("double")).withColumn("label", F.lit(1.0))
+    each = loose.filter(~F.col("near_base"))
     # A document's candidates stay on one side, so no positive is judged by trees that saw its like.
-    sample = stored(unlabelled.unionByName(positive).withColumn(
-        "_half", F.pmod(F.xxhash64("_row"), F.lit(2))), "personal-sample")
-    sizes = {(r["kind"], r["label"], r["_half"]): r["count"]
-             for r in sample.groupBy("kind", "label", "_half").count().collect()}
-    open_ = [k for k in kinds if all(
+    seen = stored(cells(each, made), "personal-cells")
+    sizes = {(r["kind"], r["label"], r["_half"]): r["n"]
+             for r in seen.groupBy("kind", "label", "_half").agg(F.sum("n").alias("n")).collect()}
+    open_ = [k for k in sorted(LOOSE) if all(
         sizes.get((k, label, half), 0) >= MIN_CLASS for label in (0.0, 1.0) for half in (0, 1))]
     if not open_:
         return each.limit(0)
-    weight = F.lit(0.0)
-    for kind in open_:
-        for label in (0.0, 1.0):
-            one = (F.col("kind") == kind) & (F.col("label") == label)
-            weight = F.when(one, 1000.0 / sizes[kind, label, 0]).otherwise(weight)
-    train = sample.filter((F.col("_half") == 0) & F.col("kind").isin(open_)).withColumn("_weight", weight)
-    assembler = VectorAssembler(inputCols=["_kind", *FORMAT, *CONTEXT], outputCol="_features")
+    seen = seen.filter(F.col("kind").isin(open_))
     trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH,
-                          seed=17, maxBins=32, weightCol="_weight")
-    model = trees.fit(assembler.transform(train))
-
-    def scored(rows: DataFrame) -> DataFrame:
-        return model.transform(assembler.transform(rows)).withColumn(
+                          seed=17, weightCol="_weight")
+
+    def scored(rows: DataFrame, *halves: int) -> DataFrame:
+        """``rows`` with the ``score`` that trees learned from these halves give."""
+        weight = F.lit(0.0)
+        for kind in open_:
+            for label in (0.0, 1.0):
+                one = (F.col("kind") == kind) & (F.col("label") == label)
+                size = sum(sizes[kind, label, half] for half in halves)
+                weight = F.when(one, 1000.0 / size).otherwise(weight)
+        learned = seen.filter(F.col("_half").isin(*halves)).withColumn("_weight", weight * F.col("n"))
+        return trees.fit(assembled(learned)).transform(assembled(rows)).withColumn(
             "score", vector_to_array("probability")[1]
         )
 
-    held = scored(sample.filter((F.col("_half") == 1) & (F.col("label") == 1) & F.col("kind").isin(open_)))
-    forms = held.groupBy("kind", "form").agg(F.avg("score").alias("c"), F.count("*").alias("n"))
+    positive = seen.filter(F.col("label") == 1)
+    held = scored(positive.filter(F.col("_half") == 1), 0).unionByName(
+        scored(positive.filter(F.col("_half") == 0), 1))
+    forms = held.groupBy("kind", "form").agg(
+        (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("c"), F.sum("n").alias("n"))
     accepted = F.lit(False)
     for r in forms.filter(F.col("n") >= MIN_CLASS).collect():
         # The odds of being personal are (1 - c) / c of the score's; no score under a half is taken.
         odds = CHANCE * r["c"] / max(1 - r["c"], 1e-9)
         accepted |= (F.col("kind") == r["kind"]) & (F.col("score") >= max(0.5, odds / (1 + odds)))
-    return scored(each.filter(F.col("kind").isin(open_))).filter(accepted)
+    return scored(each.filter(F.col("kind").isin(open_)), 0, 1).filter(accepted)
 
 
 def find(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``key`` with ``base`` and ``added`` spans."""
     rows = stored(candidates(docs, key), "personal-candidates")
-    loose = rows.filter(F.size("loose") > 0).select("_row", F.inline("loose"))
+    loose = rows.filter(F.size("loose") > 0).select("_row", "_half", F.inline("loose"))
     made = stored(made_positives(rows), "personal-made")
     added = select(loose, made).groupBy("_row").agg(
         F.collect_list(F.struct("kind", "rank", "start", "end")).alias("added")

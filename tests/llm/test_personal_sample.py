@@ -82,3 +82,27 @@ def test_long_number_runs_are_candidates_in_pieces(spark):
     for k in range(6):
         low = 5 + 20 * k
         assert any(x.start <= low and low + 19 <= x.end for x in found)
+
+
+def test_every_span_and_candidate_is_learned_from(spark):
+    """More spans of a kind, and more candidates, than any sample took."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("write to name"), "id", F.lit("@post.org "))).otherwise(""),
+        F.lit("order "), F.col("id") + 10**7, F.lit(" and order "), F.col("id") + 3 * 10**8).alias("text"))
+    rows = personal.candidates(docs)
+    made = personal.made_positives(rows)
+    forms = made.groupBy("form").agg(F.countDistinct("_row").alias("n")).collect()
+    assert {r.form: r.n for r in forms} == {f"email {i}": 4000 for i in range(3)}
+    loose = rows.select("_row", "_half", F.inline("loose")).filter(~F.col("near_base"))
+    assert loose.count() > 40_000
+    learned = personal.cells(loose, made).groupBy("label").agg(F.sum("n").alias("n")).collect()
+    assert {r.label: r.n for r in learned} == {0.0: loose.count(), 1.0: made.count()}
+
+
+def test_splits_need_no_sample(spark):
+    """Every feature has two values, for which Spark looks at no rows to choose splits."""
+    rows = personal.candidates(spark.createDataFrame([(1, "order 12345678")], "doc_id long, text string"))
+    out = personal.assembled(rows.select(F.inline("loose")))
+    told = out.schema["_features"].metadata["ml_attr"]
+    assert set(told["attrs"]) == {"binary"} and len(told["attrs"]["binary"]) == told["num_attrs"]
+    assert set(personal.CUTS) == {*personal.FORMAT, *personal.CONTEXT}
