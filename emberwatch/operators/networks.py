@@ -16,6 +16,8 @@ from emberwatch.session import scratch_path
 # 33 characters a bound, so at most 15 MB are broadcast.
 BROADCAST_INTERVALS = 200_000
 BITS = r"/(0|[1-9][0-9]{0,2})\z"
+# The zone of a colon address, which does not count; dotted ones have none.
+ZONE = r"\A([^%]*:[^%]*)%[^%/]+\z"
 
 
 @dataclass(frozen=True)
@@ -30,10 +32,9 @@ class Networks:
 def _parsed(entries: DataFrame) -> DataFrame:
     """Stored entries with the key of their address, null where they are no network, and its length."""
     entry = F.col("entry")
-    host = F.regexp_replace(entry, BITS, "")
-    key = F.when(~host.contains("%"), address_key(host))
+    host = F.regexp_replace(F.regexp_replace(entry, BITS, ""), ZONE, "$1")
     rows = _stored(entries.select(
-        "entry", key.alias("key"), F.regexp_extract("entry", BITS, 1).alias("n")
+        "entry", address_key(host).alias("key"), F.regexp_extract("entry", BITS, 1).alias("n")
     ), "list")
     width = (F.length("key") - 1) * 4
     bits = F.when(F.col("n") == "", width).otherwise(F.col("n").try_cast("int"))

@@ -94,3 +94,16 @@ def test_merged_intervals_cover_the_same_keys(spark):
     assert {k for a, b in got for k in range(a, b + 1)} == covered
     assert all(b < c for (_, b), (c, _) in zip(got, got[1:]))
     assert n.disjoint(spark.createDataFrame([], "low string, high string")).count() == 0
+
+
+def test_zones_of_entries_do_not_count(spark):
+    lines = ["fe80::1%eth0/64", "2001:db8::7%1.2.3.4", "10.0.0.0%eth0/8", "fc00::%/8", "fd00::1%a%b/8",
+             "fd00::1%a/b/8", "11.0.0.0%a:b/8"]
+    texts = ["fe80::2", "fe80::3%eth1", "fe80:0:0:1::", "2001:db8::7", "2001:db8::8", "2001:db8::102:304",
+             "10.0.0.1", "11.0.0.1", "fc00::1", "fd00::1", "fd00::1%a%b/8", "fc00::%/8"]
+    found = n.checked_networks(spark.createDataFrame([(x,) for x in lines], "entry string"))
+    events = spark.createDataFrame([(x, listed_by_hand(x, lines)) for x in texts],
+                                   "source_ip string, want boolean")
+    rows = n.flag_in_networks(events, found).collect()
+    assert {r.source_ip for r in rows if r.listed} == {r.source_ip for r in rows if r.want}
+    assert {"fe80::2", "fe80::3%eth1", "2001:db8::7"} <= {r.source_ip for r in rows if r.listed}
